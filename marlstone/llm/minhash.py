@@ -2,14 +2,16 @@
 the hash evaluations give a signature of the usual length; bands of the signature propose links, full sets confirm.
 
 1. Every text becomes a set of word shingles (64-bit hashes); texts of equal sets are one class from there on.
-2. A class's signature is cut into bands. Classes that share a band key are compared in a star around the smallest id
-   of the key; a sketch of one bit per signature value drops pairs that cannot reach the threshold.
+2. The signature is cut into bands. Classes that share a band key are compared in a star around the key's most common
+   class (the one whose keys have the most members: the text that the others were copied from, if it is there); a
+   sketch of one bit per signature value drops pairs that cannot reach the threshold.
 3. Shared shingles are counted over the full sets of both documents; components follow from the links.
 4. A star leaves out pairs of two leaves. Where the leaves of a key still lie in different components, each leaf
-   outside the key's main component is compared with all members of other components: so no link between
-   components is lost, and no group is expanded into all its pairs.
+   outside the key's main component is compared with the plausible members of other components, a pair in the first
+   key it shares: so no link between components is lost, and no group is expanded into all its pairs.
 
-With 64 permutations, 32 bands of 4 values: a pair of similarity 0.8 is missed with probability 5e-8.
+Bands take the values of 64 permutations, 32 bands of 4 values: a pair of similarity 0.8 is missed with probability 5e-8.
+The sketch has a bit for each value of all 256.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words (null, empty, white space) a
 document has no shingles and no links; repeated rows of one doc_id are one node; an empty table gives an empty result.
@@ -17,15 +19,21 @@ document has no shingles and no links; repeated rows of one doc_id are one node;
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, as_long, buffers, chunks, cut, mix, words_of
 from .components import components
 
-PERMUTATIONS, BANDS = 64, 32
+#: Permutations (two values each); those whose values are banded; bands.
+PERMUTATIONS, BANDED, BANDS = 256, 64, 32
+_WORDS = 2 * PERMUTATIONS // 64
+_SKETCH = [f"s{k}" for k in range(_WORDS)]
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _MULTIPLY = _SEEDS[:PERMUTATIONS] | U(1)
 _FLIP = _SEEDS[PERMUTATIONS:]
@@ -73,7 +81,7 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signed(width: int):
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands", "s1", "s2"]
+    names = ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -83,14 +91,14 @@ def _signed(width: int):
                 n = j - i
                 count = np.bincount(own, minlength=n).astype(np.int64)
                 d1, d2 = np.zeros(n, U), np.zeros(n, U)
-                bands, sketch = np.zeros((n, BANDS), U), np.zeros((n, 2), U)
+                bands, sketch = np.zeros((n, BANDS), U), np.zeros((n, _WORDS), U)
                 full = np.flatnonzero(count)
                 if len(full):
                     starts = np.searchsorted(own, full)
                     d1[full] = np.add.reduceat(mix(h), starts)
                     d2[full] = np.add.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), starts)
                     values = mix(np.ascontiguousarray(signatures(h, starts)))
-                    rows = values.reshape(len(full), BANDS, -1)
+                    rows = values[:, : 2 * BANDED].reshape(len(full), BANDS, -1)
                     key = np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)
                     for k in range(rows.shape[2]):
                         key = mix(key + rows[:, :, k])
@@ -100,7 +108,7 @@ def _signed(width: int):
                 flat = pa.array(as_long(bands).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), pa.array(count), pa.array(as_long(d1)), pa.array(as_long(d2)), lists, pa.array(as_long(sketch[:, 0])), pa.array(as_long(sketch[:, 1]))],
+                    [batch.column("doc_id").slice(i, n), pa.array(count), pa.array(as_long(d1)), pa.array(as_long(d2)), lists, *(pa.array(as_long(sketch[:, k])) for k in range(_WORDS))],
                     names,
                 )
 
@@ -146,46 +154,60 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     reachable by links. width and percent are the shingle's words and the threshold.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_signed(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, s1 long, s2 long"), "signed")
-    one = F.min(F.struct("doc_id", "s1", "s2", "bands")).alias("one")
-    classes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(one).select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.s1", "one.s2", "one.bands"), "classes")
-    sketch = classes.select("node", "n_shingles", "s1", "s2")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("key", "centre")
-    groups = cut(keyed.join(shared, "key"), "groups")
+    longs = ", ".join(f"{c} long" for c in _SKETCH)
+    signed = cut(docs.mapInArrow(_signed(width), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signed")
+    one = F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("one")
+    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(one)
+    classes = cut(grouped.select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.bands", *[f"one.{c}" for c in _SKETCH]), "classes")
+    sketch = classes.select("node", "n_shingles", *_SKETCH)
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(keyed.join(common, "key"), "members")
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    famed = members.join(fame, "node")
+    centres = famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("centre"))
+    groups = cut(members.select("key", "band", "node").join(centres, "key"), "groups")
+
+    def apart(p: str, q: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in _SKETCH])
+
+    def plausible(p: str, q: str) -> Column:
+        sizes = 100 * F.least(f"{p}.n_shingles", f"{q}.n_shingles") >= percent * F.greatest(f"{p}.n_shingles", f"{q}.n_shingles")
+        return sizes & (apart(p, q) <= _possible(percent))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link."""
-        apart = F.bit_count(F.col("p.s1").bitwiseXOR(F.col("q.s1"))) + F.bit_count(F.col("p.s2").bitwiseXOR(F.col("q.s2")))
-        sizes = 100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles")
         likely = cut(
             pairs.join(sketch.alias("p"), F.col("a") == F.col("p.node"))
             .join(sketch.alias("q"), F.col("b") == F.col("q.node"))
-            .where(sizes & (apart <= _possible(percent)))
+            .where(plausible("p", "q"))
             .select("a", "b", (F.col("p.n_shingles") + F.col("q.n_shingles")).alias("total")),
             "likely",
         )
-        nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs
-        sets = cut(texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_sets(width), "node long, hashes binary"), "sets")
         with_b = likely.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
         counted = with_a.select("a", "b", "x", "y").mapInArrow(_shared, "a long, b long, both long")
         return cut(counted.join(likely, ["a", "b"]).where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
 
+    # Full sets of all that share a key with another: the texts are shuffled once.
     repeated = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    links = confirmed(groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs
+    nodes = groups.select("node").distinct().hint("shuffle_merge")
+    sets = cut(texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_sets(width), "node long, hashes binary"), "sets")
+    starred = groups.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    links = confirmed(starred)
     found = cut(components(links), "components")
     # Keys whose members are not all in one component yet.
-    member = groups.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    member = groups.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
     tally = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = tally.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").select("key", "main")
-    open_ = cut(member.join(mixed, "key"), "open")
+    open_ = cut(member.join(mixed, "key").join(classes.drop("d1", "d2"), "node"), "open")
     outside, other = open_.where("c <> main").alias("o"), open_.alias("m")
-    apart = outside.join(other, (F.col("o.key") == F.col("m.key")) & (F.col("o.c") != F.col("m.c")))
-    pairs = apart.select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
+    first = F.array_position(F.zip_with("o.bands", "m.bands", lambda x, y: x == y), F.lit(True)) == F.col("o.band") + 1
+    once = (F.col("m.c") == F.col("m.main")) | (F.col("o.node") < F.col("m.node"))
+    cross = outside.join(other, (F.col("o.key") == F.col("m.key")) & (F.col("o.c") != F.col("m.c")) & once & plausible("o", "m") & first)
+    pairs = cross.select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
     # What the stars have compared already need not be compared again.
-    starred = groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     more = confirmed(pairs.join(starred, ["a", "b"], "left_anti"))
     final = cut(components(links.union(more)), "components")
     named = classes.join(final, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
