@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = (
+    "operators.filters",
+    "operators.catalog",
+)
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for module in _MODULES:
+        out |= getattr(import_module(f"marlstone.{module}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
