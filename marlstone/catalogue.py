@@ -7,6 +7,17 @@ from importlib import import_module
 _MODULES = (
     "operators.filters",
     "operators.catalog",
+    "operators.joins",
+    "operators.aggregates",
+    "operators.windows",
+    "operators.search",
+    "operators.graph",
+    "operators.entities",
+    "operators.etl",
+    "functions.scalars",
+    "sources.connectors",
+    "plans.incremental",
+    "streaming.events",
 )
 
 
