@@ -81,11 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Exact cosines in double precision and the closure of the links; small enough for SQL at the scale of the comparison.
 OP3 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 ok AS (
-  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
-  WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(e, x -> x * x)) > 0),
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(e, lambda x: x * x)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),

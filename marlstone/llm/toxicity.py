@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DECAY, SPAN = 0.75, 6
 #: Documents of each label to train on, at most; landmarks, at most.
-SAMPLE, LANDMARKS = 3000, 96
+SAMPLE, LANDMARKS = 1000, 96
 #: A word whose common subsequences weigh less than this share of a landmark's own counts as unlike it.
 NEAR = 0.3
 #: Letters of a window over a longer run of letters, and the step of the windows.
