@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 #: Lines in an index block; payload bytes aimed at in an archive.
-BLOCK, ARCHIVE = 1000, 8_000_000
+BLOCK, ARCHIVE = 1000, 16_000_000
+#: Captures whose byte ranges (16 bytes each) may be sent to every executor; with more, the archives are joined by a shuffle.
+SENT = 1_000_000
 _END = "\r\n"
 _LINE = "key string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, offset long, length long"
 
@@ -52,8 +54,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, record_type, payload_bytes, sha1 (hex), refers_to, html of every page."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    # Digests are counted before they are joined: a payload that very many pages share is one row here.
-    latest = rows.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("latest"))
+    # Digests are counted before they are joined: a payload that very many pages share is one row here, and one that no
+    # other page has is none.
+    latest = rows.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(latest, "sha1", "left")
     again = F.coalesce(F.col("page_id") < F.col("latest"), F.lit(False))
     return joined.select(
@@ -87,11 +90,11 @@ def _written(batches):
 
 
 def write(pages: DataFrame, path: str, least: int = 0, archive: int = ARCHIVE) -> None:
-    """Write the archives of pages to the folder path, about archive payload bytes to a file."""
+    """Write the archives of pages to the folder path, about archive payload bytes to a file, without a shuffle of its own."""
     found = records(pages, least)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-total // archive))
-    found.repartition(files).mapInArrow(_written, "value string").write.option("lineSep", 2 * _END).text(path)
+    total, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
+    each = max(1, archive * n // max(1, total or 0))
+    found.mapInArrow(_written, "value string").write.option("lineSep", 2 * _END).option("maxRecordsPerFile", each).text(path)
 
 
 def parsed(content: bytes):
@@ -198,6 +201,9 @@ def fetch(spark: SparkSession, path: str, to: str, urls: list[str] | None = None
     if urls is not None:
         lines = lines.where(F.col("key").isin(keys))
     wanted = lines.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))  # as many as an archive holds
+    captures = spark.read.parquet(f"{to}/blocks").agg(F.sum("lines")).first()[0] or 0
+    if captures <= SENT:
+        wanted = F.broadcast(wanted)
     joined = _archives(spark, path).join(wanted, F.col("path") == F.col("file"))
     return joined.select("content", "wanted").mapInArrow(_ranged, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
 
