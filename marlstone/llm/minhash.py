@@ -3,15 +3,16 @@ the hash evaluations give a signature of the usual length; bands of the signatur
 
 1. Every text becomes a set of word shingles (64-bit hashes); texts of equal sets are one class from there on.
 2. The signature is cut into bands. Classes that share a band key are compared in a star around the key's most common
-   class (the one whose keys have the most members: the text that the others were copied from, if it is there); a
-   sketch of one bit per signature value drops pairs that cannot reach the threshold.
+   class (the one whose keys have the most members: the text that the others were copied from, if it is there). Two
+   sketches drop pairs below the threshold: a bit per signature value, and the parities of the shingles by hash value,
+   whose differing bits are never more than the shingles that only one of the two has.
 3. Shared shingles are counted over the full sets of both documents; components follow from the links.
 4. A star leaves out pairs of two leaves. Where the leaves of a key still lie in different components, each leaf
    outside the key's main component is compared with the plausible members of other components, a pair in the first
    key it shares: so no link between components is lost, and no group is expanded into all its pairs.
 
 Bands take the values of 64 permutations, 32 bands of 4 values: a pair of similarity 0.8 is missed with probability 5e-8.
-The sketch has a bit for each value of all 256.
+The first sketch has a bit for each value of all 256; the parities, exact at any size, tell most up to some 500 shingles.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words (null, empty, white space) a
 document has no shingles and no links; repeated rows of one doc_id are one node; an empty table gives an empty result.
@@ -34,6 +35,9 @@ from .components import components
 PERMUTATIONS, BANDED, BANDS = 256, 64, 32
 _WORDS = 2 * PERMUTATIONS // 64
 _SKETCH = [f"s{k}" for k in range(_WORDS)]
+#: Bits of the parity sketch.
+PARITIES = 512
+_PARITY = [f"p{k}" for k in range(PARITIES // 64)]
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _MULTIPLY = _SEEDS[:PERMUTATIONS] | U(1)
 _FLIP = _SEEDS[PERMUTATIONS:]
@@ -80,8 +84,15 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def parities(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Bits (n, PARITIES // 64) that tell of each of PARITIES ranges of hash values if a set has an odd number in it."""
+    place = (own[:, None] * PARITIES + (h[:, None] >> U(64 - PARITIES.bit_length() + 1)).astype(np.int64)).ravel()
+    odd = (np.bincount(place, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+    return np.packbits(odd, axis=1).view(U)
+
+
 def _signed(width: int):
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH]
+    names = ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH, *_PARITY]
 
     def run(batches):
         for batch in batches:
@@ -91,7 +102,7 @@ def _signed(width: int):
                 n = j - i
                 count = np.bincount(own, minlength=n).astype(np.int64)
                 d1, d2 = np.zeros(n, U), np.zeros(n, U)
-                bands, sketch = np.zeros((n, BANDS), U), np.zeros((n, _WORDS), U)
+                bands, sketch, parity = np.zeros((n, BANDS), U), np.zeros((n, _WORDS), U), parities(h, own, n)
                 full = np.flatnonzero(count)
                 if len(full):
                     starts = np.searchsorted(own, full)
@@ -107,10 +118,9 @@ def _signed(width: int):
                     sketch[full] = np.ascontiguousarray(np.packbits(bits, axis=1)).view(U)
                 flat = pa.array(as_long(bands).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), pa.array(count), pa.array(as_long(d1)), pa.array(as_long(d2)), lists, *(pa.array(as_long(sketch[:, k])) for k in range(_WORDS))],
-                    names,
-                )
+                columns = [pa.array(as_long(x)) for x in (count, d1, d2)]
+                bits = [pa.array(as_long(x[:, k])) for x in (sketch, parity) for k in range(x.shape[1])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), *columns, lists, *bits], names)
 
     return run
 
@@ -154,12 +164,12 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     reachable by links. width and percent are the shingle's words and the threshold.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    longs = ", ".join(f"{c} long" for c in _SKETCH)
+    longs = ", ".join(f"{c} long" for c in [*_SKETCH, *_PARITY])
     signed = cut(docs.mapInArrow(_signed(width), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signed")
-    one = F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("one")
+    one = F.min(F.struct("doc_id", "bands", *_SKETCH, *_PARITY)).alias("one")
     grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(one)
-    classes = cut(grouped.select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.bands", *[f"one.{c}" for c in _SKETCH]), "classes")
-    sketch = classes.select("node", "n_shingles", *_SKETCH)
+    classes = cut(grouped.select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.bands", *[f"one.{c}" for c in [*_SKETCH, *_PARITY]]), "classes")
+    sketch = classes.select("node", "n_shingles", *_SKETCH, *_PARITY)
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(common, "key"), "members")
@@ -168,12 +178,14 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     centres = famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("centre"))
     groups = cut(members.select("key", "band", "node").join(centres, "key"), "groups")
 
-    def apart(p: str, q: str) -> Column:
-        return reduce(add, [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in _SKETCH])
+    def apart(p: str, q: str, bits: list[str]) -> Column:
+        return reduce(add, [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in bits])
 
     def plausible(p: str, q: str) -> Column:
         sizes = 100 * F.least(f"{p}.n_shingles", f"{q}.n_shingles") >= percent * F.greatest(f"{p}.n_shingles", f"{q}.n_shingles")
-        return sizes & (apart(p, q) <= _possible(percent))
+        # At the threshold the shingles of one text alone are (100 - percent) / (100 + percent) of both texts' together.
+        alone = (100 + percent) * apart(p, q, _PARITY) <= (100 - percent) * (F.col(f"{p}.n_shingles") + F.col(f"{q}.n_shingles"))
+        return sizes & alone & (apart(p, q, _SKETCH) <= _possible(percent))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link."""
