@@ -14,6 +14,8 @@ _MODULES = (
     "operators.graph",
     "operators.entities",
     "operators.etl",
+    "operators.reports",
+    "operators.maintenance",
     "functions.scalars",
     "sources.connectors",
     "plans.incremental",
