@@ -216,4 +216,4 @@ def t27(spark, sf_dir):
 def t29(spark, sf_dir):
     """The five documents of each language to do next: newest, preferred source first, then by id."""
     order = Window.partitionBy("lang").orderBy(F.coalesce("published_at", F.lit("")).desc(), (F.col("source") == "src1").desc(), "doc_id")
-    return documents(spark, sf_dir).select("document_id", F.row_number().over(order).alias("place")).where("place <= 5")
+    return documents(spark, sf_dir).select("document_id", F.row_number().over(order).cast("long").alias("place")).where("place <= 5")
