@@ -98,8 +98,21 @@ SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, e.vec_id = c
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN deg d USING (vec_id)
 """
 
-#: The word count and targets; what is taken follows from the hash keys of the operator, so it is left to the tests.
-ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3}
+#: Each five hexadecimal digits of the digest are four base32 characters.
+OP8 = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS newest,
+  list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((n >> k) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < newest THEN newest END AS refers_to
+FROM b
+"""
+
+#: What op10 takes follows from the hash keys of the operator, and op2's cuts from its order of groups: left to the tests.
+ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3, "op8_warc": OP8}
 
 
 def oracle_sql() -> dict[str, str]:
