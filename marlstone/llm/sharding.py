@@ -38,8 +38,9 @@ def prefix_sums(groups: DataFrame) -> DataFrame:
     return groups.join(F.broadcast(starts), "bucket").select("h", "bytes", (F.col("start") + F.sum("bytes").over(inside)).alias("upto"))
 
 
-def _last(sums: DataFrame, at: list[int], widest: int) -> list[int]:
-    """For each x, the largest prefix sum at or below it: it lies within the widest group of x, or is 0."""
+def _last(sums: DataFrame, at: list[int], widest: int, total: int) -> list[int]:
+    """For each x, the largest prefix sum at or below it: the total, or it lies within the widest group of x, or is 0."""
+    at = [min(x, total) for x in at]  # beyond the total no prefix sum lies near x
     near = None
     for x in set(at):
         this = (F.col("upto") <= x) & (F.col("upto") > x - widest)
@@ -59,7 +60,7 @@ def capacity(sums: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     def greedy(tries: list[int]) -> None:
         ends = {c: [0] for c in tries}
         for _ in range(n_shards):
-            for c, end in zip(tries, _last(sums, [ends[c][-1] + c for c in tries], widest)):
+            for c, end in zip(tries, _last(sums, [ends[c][-1] + c for c in tries], widest, total)):
                 ends[c].append(max(end, ends[c][-1]))
         known.update({c: e[1:] for c, e in ends.items()})
 

@@ -120,6 +120,25 @@ def test_sharding(docs, rows):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def test_sharding_smallest_capacity(spark):
+    """Capacity and cuts against greedy filling of every capacity, with groups of very unequal sizes."""
+    for n_shards, sizes in ((2, [8, 3, 11, 11]), (2, [1, 2, 3, 60, 1]), (4, [5, 40, 2, 9, 33, 1, 1, 28, 7, 36])):
+        table = [(h, b, sum(sizes[: h + 1])) for h, b in enumerate(sizes)]
+
+        def filled(most):
+            shards = [0]
+            for b in sizes:
+                if shards[-1] + b > most:
+                    shards.append(0)
+                shards[-1] += b
+            return shards
+
+        want = next(c for c in range(max(sizes), sum(sizes) + 1) if len(filled(c)) <= n_shards)
+        most, cuts = sharding.capacity(spark.createDataFrame(table, "h long, bytes long, upto long").coalesce(1).cache(), n_shards)
+        shards = [b - a for a, b in zip([0, *cuts], [*cuts, sum(sizes)])]
+        assert most == want and [x for x in shards if x] == filled(want), sizes
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     size = Counter()
