@@ -51,13 +51,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit words) and decoded text of every document of the mix."""
-    return bpe.encode(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    """doc_id, n_tokens, ids (little-endian 32-bit words), their digest and decoded text of every document of the mix."""
+    return bpe.encode(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), "decoded")
 
 
 STAGES = [("toxicity", clean), ("minhash near-dedup", distinct), ("suffix-array dedup", without_repeats), ("mixing to target weights", mixed), ("bpe encoding and decoding", encoded)]
 
-#: Learnt models, signatures and tokenizers are beyond SQL; the tests hold run() against brute force.
+#: Learnt models, signatures and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds run() and each stage against brute force.
 ORACLE_SQL = None
 
 
