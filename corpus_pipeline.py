@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, minhash, mixing, passages, toxicity
-from marlstone.llm.common import shared_dir
+from marlstone.llm.common import cut, numbered, shared_dir
 from marlstone.llm.queries import tokenizer_file
 
 
@@ -23,20 +23,36 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("score") < 0.7).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame, first: Column) -> tuple[DataFrame, bool]:
+    """docs with a key _row of its own for each row, and if any doc_id is null or repeated: without that _row is the doc_id;
+    else rows are numbered in order of doc_id (first: its order with nulls placed), text and the other columns."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), False
+    return numbered(docs, [first, "text", *[c for c in docs.columns if c not in ("doc_id", "text")]], "_row"), True
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    near = minhash.near(docs, width=5, percent=80)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])  # rows of one doc_id are one document
-    return docs.join(near.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One document (the smallest doc_id) of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows of one doc_id are one document: the first in order of text (null first) and the other columns stands for it.
+    Rows without a doc_id are documents of their own, after all others: of near copies one with a doc_id stays."""
+    rows, mended = _keyed(docs, F.col("doc_id").asc_nulls_last())
+    if mended:
+        own = F.when(F.col("doc_id").isNull(), F.col("_row"))
+        rows = cut(rows.join(rows.groupBy("doc_id", own).agg(F.min("_row").alias("_row")).select("_row"), "_row", "left_semi"), "distinct")
+    near = minhash.near(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    return rows.join(near.where("not kept").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that a document with a smaller doc_id has. A character that lost some of
-    its bytes goes as a whole. Untouched texts (null too) stay as they are; n_chars follows the text."""
-    left = passages.remove_repeats(docs, text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
+    its bytes goes as a whole. Untouched texts (null too) stay as they are; n_chars follows the text. If any doc_id is null
+    or repeated, rows count as documents of their own in order of doc_id (null first), then text and the other columns."""
+    rows, _ = _keyed(docs, F.col("doc_id").asc_nulls_first())
+    found = passages.remove_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), text=True)
+    left = found.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
     text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    joined = docs.join(left, F.col("doc_id") == F.col("_id"), "left").withColumn("text", text)
+    joined = rows.join(left, F.col("_row") == F.col("_id"), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return joined.select(*docs.columns)

@@ -151,3 +151,37 @@ def test_encoded(spark, rows, folder):
 def test_run(spark, rows, folder):
     kept = without_repeats(by_id(distinct(clean(spark, rows, folder))))
     assert found(cp.run(spark, folder)) == encoded(list(mixed(spark, kept).elements()))
+
+
+@pytest.fixture(scope="module")
+def loose(rows):
+    """Rows with null and repeated doc_ids: differing texts of one id, exact repeats, and near copies without an id."""
+    some = rows[:40]
+    nulls = [(None, *r[1:]) for r in (*rows[:4], *rows[50:56], rows[50])]
+    twice = [(some[0][0], *rows[60][1:]), (some[3][0], *rows[6][1:]), (some[6][0], *rows[9][1:]), some[9], some[9]]
+    return some + nulls + twice + [(None, None, "en", "s1", None), (some[2][0], None, "en", "s1", None)]
+
+
+def as_numbers(rows, last):
+    """Rows in the stage's order, with their place for a doc_id."""
+    order = sorted(rows, key=lambda r: ((r[0] is None) == last, r[0] or 0, *((v is not None, v or 0) for v in (r[1], r[2], r[3], r[4]))))
+    return order, [(k, *r[1:]) for k, r in enumerate(order)]
+
+
+def test_distinct_without_ids(spark, loose, folder):
+    order, _ = as_numbers(loose, True)
+    ids, one = set(), []
+    for r in order:
+        if r[0] is None or r[0] not in ids:
+            one.append(r)
+        ids.add(r[0])
+    kept = {r[0] for r in distinct([(k, *r[1:]) for k, r in enumerate(one)])}
+    want = [r for k, r in enumerate(one) if k in kept]
+    assert sum(r[0] is None for r in want) > 1
+    assert found(cp.distinct(spark, table(spark, loose), folder)) == Counter(want)
+
+
+def test_without_repeats_without_ids(spark, loose, folder):
+    order, numbers = as_numbers(loose, False)
+    want = [(r[0], *w[1:]) for r, w in zip(order, without_repeats(numbers))]
+    assert found(cp.without_repeats(spark, table(spark, loose), folder)) == Counter(want)
