@@ -1,4 +1,4 @@
-"""Entities: registry of aliases, mentions, resolution that never guesses, reconciliation, review application."""
+"""Entities: registry of aliases, mentions, resolution that never guesses, pending names, review application."""
 
 from __future__ import annotations
 
