@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import registry
@@ -71,3 +71,26 @@ def e7(spark, sf_dir):
     raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("HK "), F.col("p_partkey") % 100000)).otherwise(F.concat(F.col("p_partkey") % 100000, F.lit(" HK")))
     parts = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey", raw.alias("raw"))
     return parts.select("p_partkey", F.concat(F.lpad(F.regexp_extract("raw", "[0-9]+", 0), 5, "0"), F.lit("."), F.regexp_extract("raw", "[A-Z]+", 0)).alias("key"))
+
+
+def security_key(raw: Column) -> Column:
+    """(market, code, exchange) of a code with a market before or after it; null where form or length is wrong.
+
+    The name is trimmed, its white space collapsed and upper-cased; wide forms are not folded (no NFKC in SQL)."""
+    name = F.upper(F.regexp_replace(F.trim(F.regexp_replace(raw, r"\s+", " ")), "^ | $", ""))
+
+    def key(market, code, exchange=None):
+        exchange = F.lit(None).cast("string") if exchange is None else exchange
+        return F.struct(market.alias("market"), F.when(market == "HK", F.lpad(code, 5, "0")).otherwise(code).alias("code"), exchange.alias("exchange"))
+
+    before, after, us = r"^(US|HK|SH|SZ|TW):([A-Z0-9.\-]+)$", r"^([0-9]{1,6})(?:[.\s\-]+)?(HK|SH|SS|SZ|TW|TT|CH)$", r"^([A-Z][A-Z0-9.\-]{0,12})[.\s\-]+(US|O|OQ|N)$"
+    market, code = F.regexp_extract(name, before, 1), F.regexp_extract(name, before, 2)
+    sound = F.when(market == "US", code.rlike("^[A-Z][A-Z0-9.\\-]{0,12}$")).when(market == "HK", code.rlike("^[0-9]{1,5}$")).when(market == "TW", code.rlike("^[0-9]{4}$")).otherwise(code.rlike("^[0-9]{6}$"))
+    digits, end = F.regexp_extract(name, after, 1), F.regexp_extract(name, after, 2)
+    place = F.when(end == "SS", "SH").when(end == "TT", "TW").when(end == "CH", "CN").otherwise(end)
+    n = F.length(digits)
+    fits = ((place == "HK") & (n <= 5)) | (place.isin("SH", "SZ", "CN") & (n == 6)) | ((place == "TW") & (n == 4))
+    suffix = F.regexp_extract(name, us, 2)
+    exchange = F.when(suffix.isin("O", "OQ"), "Nasdaq").when(suffix == "N", "NYSE")
+    found = F.when(name.rlike(before), F.when(sound, key(market, code))).when(name.rlike(after), F.when(fits, key(place, digits)))
+    return found.when(name.rlike(us), key(F.lit("US"), F.regexp_extract(name, us, 1), exchange))
