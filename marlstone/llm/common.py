@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 U = np.uint64
-_BASE = int(0x9E3779B97F4A7C15)
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On one machine (local mode, tests) a temporary
+    folder is set where none is; on a cluster a local folder would not be shared, so that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="marlstone-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -101,33 +102,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand and kept per worker."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on as one little-endian integer, zeros behind the end; a view, no copy per place."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
-    up = np.ones(1, U)
-    down = np.ones(1, U)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            size = max(n + 1, 1 << 16)
-            a, b = np.full(size, _BASE, U), np.full(size, _BASE_INVERSE, U)
-            a[0] = b[0] = 1
-            cls.up, cls.down = np.cumprod(a, dtype=U), np.cumprod(b, dtype=U)
-        return cls.up, cls.down
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges (none of them empty): every eight bytes are scrambled with their place, then added.
 
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash H (length n + 1) of bytes; substring(i, j) hashes as (H[j] - H[i]) * down[i]."""
-    up, _ = Powers.of(len(data) + 1)
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=out[1:], dtype=U)
-    return out
-
-
-def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = Powers.of(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U))
+    A sum of scrambled words, not a polynomial: texts built against polynomial hashes modulo 2**64 do not collide.
+    """
+    if not len(start):
+        return np.zeros(0, U)
+    size = end - start
+    lanes = (size + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    own = np.repeat(np.arange(len(start)), lanes)
+    k = np.arange(len(own)) - first[own]
+    lane = eights(data)[start[own] + 8 * k]
+    last = first + lanes - 1
+    lane[last] &= U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * (size - 8 * (lanes - 1)).astype(U))
+    lane = mix(mix(lane) + (k + 1).astype(U) * U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(lane, first) + size.astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +141,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[
     end = ink.copy()
     end[:-1] &= ~ink[1:] | edge[1:-1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return substring_hashes(prefix_hashes(data), start, end), np.searchsorted(bounds, start, "right") - 1
+    return span_hashes(data, start, end), np.searchsorted(bounds, start, "right") - 1
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

@@ -4,11 +4,17 @@ its signature of minima compares texts much as compression against each other wo
 The parse is the incremental one of 1978: each phrase is the shortest that the dictionary does not hold yet. The
 dictionary holds every prefix of its phrases, so a phrase's end is sought from the last phrase's length.
 
+The signature is one permutation in 64 ranges: each phrase's hash falls in one range, of which the minimum is kept. Minima of
+parts of a text are merged range by range; ranges without a phrase then borrow from ranges that have one, in an order
+that depends on the range alone, so that the share of equal values stays an unbiased estimate of the phrases in common.
+
 ``neighbours`` also fingerprints each text with its last half replaced by the beginning of the next document's. Rows
 are dealt by ranges of doc_id and sorted there; each range also gets a copy of the next range's first row.
 
 Defined cases: null is the empty text, whose phrase set is empty (alike only to the empty set); rows of one doc_id (or
-with none, which come first) follow each other by hash of their text; a lone document is its own next.
+with none, which come first) follow each other by hash of their text; a lone document is its own next; very long texts
+are parsed whole, in one task; an empty table gives an empty result; columns beside doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,64 +27,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, prefix_hashes, substring_hashes
+from .common import U, mix, span_hashes
 
+#: Ranges of the permutation (a power of two).
 VALUES = 64
-_SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=U) * U(0xD6E8FEB86659FD93))
-_MULTIPLY, _FLIP = _SEEDS[:VALUES] | U(1), _SEEDS[VALUES:]
-_EMPTY = np.full(VALUES, 0xFFFFFFFF, np.uint32)
-
-
-def parse(text: str, seen: set[str], start: int = 0, stop: int | None = None) -> list[int]:
-    """Ends of the phrases from start on; seen grows. With stop, only phrases that end there or before."""
-    n, ends, length = len(text), [], 1
-    limit = n if stop is None else stop
-    while start < n:
-        if text[start : start + length] in seen:
-            length += 1
-            while start + length <= n and text[start : start + length] in seen:
-                length += 1
-        else:
-            while length > 1 and text[start : start + length - 1] not in seen:
-                length -= 1
-        end = min(start + length, n)
-        if end > limit:
-            break
-        seen.add(text[start:end])
-        ends.append(end)
-        start = end
-    return ends
-
-
-def minima(text: str, begin: int, ends: list[int]) -> np.ndarray:
-    """Signature of the phrases that follow each other from begin to the ends."""
-    if not ends:
-        return _EMPTY
-    part = text[begin : ends[-1]]
-    data = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.array([begin, *ends], np.int64) - begin
-    h = substring_hashes(prefix_hashes(data), at[:-1], at[1:])
-    out = np.empty(VALUES, np.uint32)
-    for k in range(VALUES):
-        out[k] = ((h ^ _FLIP[k]) * _MULTIPLY[k]).min() >> U(32)
+_BITS = VALUES.bit_length() - 1
+_NONE = U(0xFFFFFFFFFFFFFFFF)
+#: For each range, the ranges it borrows from, in turn: a permutation of its own.
+_LENDERS = np.argsort(mix(np.arange(VALUES * VALUES, dtype=U) * U(0xD6E8FEB86659FD93) + U(1)).reshape(VALUES, VALUES), axis=1)
+
+
+def parse(points: list[int], trie: dict[int, int], begin: int = 0) -> tuple[list[int], int]:
+    """Ends of the phrases of code points from place begin on, and where what is left over begins: it is a phrase that the
+    dictionary has already. trie (node and code point to node; 0 is the root) grows by a node for each phrase."""
+    ends: list[int] = []
+    node, top, known = 0, len(trie), trie.get
+    for at, point in enumerate(points[begin:] if begin else points, begin + 1):
+        key = node << 21 | point
+        node = known(key, 0)
+        if not node:
+            top += 1
+            trie[key] = top
+            ends.append(at)
+    return ends, ends[-1] if ends else begin
+
+
+def minima(parts: list[tuple[str, list[int]]]) -> np.ndarray:
+    """For each part, a text and the ends of phrases that follow each other from its start: the least hash in each of the
+    ranges; all ones where none is. All parts are hashed in one go."""
+    out = np.full((len(parts), VALUES), _NONE)
+    raw, places, base = [], [], 0
+    for text, ends in parts:
+        at = np.array(ends, np.int64)
+        body = text.encode("utf-8", "surrogatepass")
+        if len(body) > len(text):  # places in code points to places in bytes
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            wide = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            at = np.r_[0, np.cumsum(wide)][at]
+        raw.append(body)
+        places.append(at + base)
+        base += len(body)
+    count = np.array([len(ends) for _, ends in parts])
+    if count.sum():
+        end = np.concatenate(places)
+        start = np.r_[0, end[:-1]]
+        full = np.flatnonzero(count)
+        first = (np.cumsum(count) - count)[full]
+        start[first] = np.cumsum([0, *map(len, raw)])[full]
+        h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), start, end)
+        np.minimum.at(out.reshape(-1), np.repeat(np.arange(len(parts)), count) * VALUES + (h >> U(64 - _BITS)).astype(np.int64), h)
     return out
 
 
-def fingerprint(text: str) -> np.ndarray:
-    return minima(text, 0, parse(text, set()))
+def signature(least: np.ndarray) -> np.ndarray:
+    """Values of 32 bits from the minima of the ranges; empty ranges borrow the first value in their order of lenders."""
+    empty = least == _NONE
+    values = (least >> U(64 - _BITS - 32)).astype(np.uint32)
+    if empty.any() and not empty.all():
+        holes = np.flatnonzero(empty)
+        lender = _LENDERS[holes]
+        values[holes] = values[lender[np.arange(len(holes)), np.argmin(empty[lender], axis=1)]]
+    return values
+
 
+def _points(text: str) -> list[int]:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
 
-def pair(text: str, other: str) -> tuple[np.ndarray, np.ndarray, str]:
-    """Signatures of a text and of its edited text (last half from the start of other), and the edited text."""
-    half = len(text) // 2
-    same = len(text) - half
-    edited = text[:same] + other[:half]
-    seen: set[str] = set()
-    ends = parse(text, seen, 0, same)
-    cut = ends[-1] if ends else 0
-    head = minima(text, 0, ends)
-    tails = [minima(t, cut, parse(t, s, cut)) for t, s in ((text, set(seen)), (edited, seen))]
-    return np.minimum(head, tails[0]), np.minimum(head, tails[1]), edited
+
+def fingerprint(text: str) -> np.ndarray:
+    ends, left = parse(_points(text), {})
+    if left < len(text):
+        ends.append(len(text))
+    return signature(minima([(text, ends)])[0])
+
+
+def _phrases(text: str, edited: str, same: int) -> list[tuple[str, list[int]]]:
+    """Parts and phrase ends of what a text and its edited text begin with alike (same code points), and of the rest of each."""
+    trie: dict[int, int] = {}
+    ends, cut = parse(_points(text[:same]), trie)
+    out = [(text[:same], ends)]
+    for whole in (text, edited):
+        more, left = parse(_points(whole[cut:]), dict(trie))
+        if cut + left < len(whole):
+            more.append(len(whole) - cut)
+        out.append((whole[cut:], more))
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -87,30 +120,53 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Texts and code points whose phrases are hashed in one go.
+_TEXTS, _POINTS = 100, 1 << 18
 
 
 def _walk(batches):
     """Rows in order of bucket and place; a bucket's last row is a copy of the next one's first."""
     names = [x.split()[0] for x in _FIELDS.split(", ")]
-    last = None  # bucket, tail, doc_id, text, own signature if known
-    out: list[tuple] = []
-    ready: np.ndarray | None = None  # signature of the row after the one before
+    rows: list[tuple] = []  # bucket, tail, doc_id, text; the first may be one whose successor is yet to come
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        """All rows that have their successor among rows; the last row is only a successor."""
+        parts, heads = [], []
+        for row, following in zip(rows, rows[1:]):
+            if row[0] != following[0] or row[1]:
+                continue
+            text, other = row[3], following[3]
+            half = len(text) // 2
+            edited = text[: len(text) - half] + other[:half]
+            heads.append((row, edited))
+            parts += _phrases(text, edited, len(text) - half)
+        if not heads:
+            return None
+        least = minima(parts).reshape(len(heads), 3, VALUES)
+        own = [signature(np.minimum(x[0], x[1])) for x in least]
+        # Who follows has its own signature already, but for the last row and for copies of the next bucket's first row.
+        known = {id(row): s for (row, _), s in zip(heads, own)}
+        out = []
+        for ((row, edited), mine, x), following in zip(zip(heads, own, least), [f for r, f in zip(rows, rows[1:]) if r[0] == f[0] and not r[1]]):
+            changed = signature(np.minimum(x[0], x[2]))
+            successor = known.get(id(following))
+            if successor is None:
+                successor = fingerprint(following[3])
+            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((row[2], len(row[3]), sha, mine.astype(">u4").tobytes().hex(), changed.astype(">u4").tobytes().hex(), likeness(mine, changed), likeness(mine, successor)))
+        return pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names)
+
+    size = 0
     for batch in batches:
-        for bucket, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "text"))):
-            if last is not None and last[0] == bucket and not last[1]:
-                own, changed, edited = pair(last[3], text)
-                if out and out[-1][6] is None:
-                    out[-1] = (*out[-1][:6], likeness(out[-1][7], own), None)
-                sha = hashlib.sha256(edited.encode()).hexdigest()
-                following = fingerprint(text) if tail else None
-                near = likeness(own, following) if tail else None
-                out.append((last[2], len(last[3]), sha, own.astype(">u4").tobytes().hex(), changed.astype(">u4").tobytes().hex(), likeness(own, changed), near, own))
-            last = (bucket, tail, doc_id, text)
-            if len(out) > 500 and out[-1][6] is None:
-                whole, out = out[:-1], out[-1:]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in list(zip(*whole))[:7]], names)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in list(zip(*out))[:7]], names)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "text"))):
+            rows.append(row)
+            size += len(row[3])
+            if len(rows) > _TEXTS or size > _POINTS:
+                if (found := flush(rows)) is not None:
+                    yield found
+                rows, size = rows[-1:], 0
+    if (found := flush(rows)) is not None:
+        yield found
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

@@ -178,19 +178,63 @@ def test_vectors(spark):
     assert {r["vec_id"]: r["component_id"] for r in got} == want
 
 
+def phrase_set(text):
+    """Plain incremental parse of 1978, character by character."""
+    seen, now = set(), ""
+    for c in text:
+        now += c
+        if now not in seen:
+            seen.add(now)
+            now = ""
+    return seen | ({now} if now else set())
+
+
 def test_phrases(docs, rows):
     got = {r["doc_id"]: r for r in phrases.neighbours(docs).collect()}
     order = sorted(rows)
+    off = []
     for k, (i, t, _) in enumerate(order):
         t, other = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + other[:half]
-        own, changed, following = (phrases.fingerprint(v) for v in (t, edited, other))
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["fingerprint"] == own.astype(">u4").tobytes().hex() and r["edited_fingerprint"] == changed.astype(">u4").tobytes().hex()
-        assert (r["near_edited"], r["near_next"]) == (phrases.likeness(own, changed), phrases.likeness(own, following))
-    assert len(got) == len(rows)
+        own, changed, following = map(phrase_set, (t, edited, other))
+        for a, b, near in ((own, changed, r["near_edited"]), (own, following, r["near_next"])):
+            assert 0 <= near <= 1 and (near == 1.0 or a != b)
+            off.append(near - (len(a & b) / len(a | b) if a | b else 1.0))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) >= (own == changed)
+        assert r["fingerprint"] == phrases.fingerprint(t).astype(">u4").tobytes().hex()
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.09
+    assert len(got) == len(rows) and len({r["fingerprint"] for i, r in got.items() if i in (0, 1006, 1007)}) == 1
+
+
+def test_phrase_ends():
+    """The parse against the plain one, and parts that share a beginning against whole texts."""
+    r = random.Random(6)
+    for _ in range(200):
+        text, other = ("".join(r.choice("abé😀"[: r.randint(1, 4)]) for _ in range(r.randint(0, 90))) for _ in range(2))
+        ends, left = phrases.parse(phrases._points(text), {})
+        cuts = [0, *ends] + ([len(text)] if left < len(text) else [])
+        assert {text[a:b] for a, b in zip(cuts, cuts[1:])} == phrase_set(text)
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        least = phrases.minima(phrases._phrases(text, edited, len(text) - half))
+        for tail, whole in ((1, text), (2, edited)):
+            assert (phrases.signature(np.minimum(least[0], least[tail])) == phrases.fingerprint(whole)).all()
+
+
+def test_words_built_against_polynomial_hashes(spark):
+    """Two words of many characters whose polynomials agree modulo 2**64 for every base share no shingle."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    table = []
+    for n in (1024, 4096):
+        table += [(n, word[:n]), (n + 1, word[:n].translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in minhash.near(df).collect())
+    assert len({r["fingerprint"] for r in phrases.neighbours(df).collect()}) == 4
 
 
 def test_warc(spark, tmp_path):
