@@ -1,5 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -8,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, minhash, mixing, passages, phrases, resampling, sharding, suffixes, toxicity, vectors, warc
 from marlstone.llm.queries import tokenizer_file
@@ -30,8 +33,6 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     return df.withColumn("size", F.lit("clash")).withColumn("id", F.lit(7)).withColumn("key", F.lit("x"))
 
@@ -237,27 +238,36 @@ def test_words_built_against_polynomial_hashes(spark):
     assert len({r["fingerprint"] for r in phrases.neighbours(df).collect()}) == 4
 
 
-def test_warc(spark, tmp_path):
-    pages = [(i, f"http://www.ex{i % 5}.com/p{i}?q=1#top" if i % 7 else None, [None, "", "same\r\n\r\nbody", f"<p>é {i}</p>"][i % 4]) for i in range(60)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+def test_warc(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    urls = ["-", "", "http://x.org/a\tb", "http://x.org/a\nb", None]
+    pages = [(i, f"http://www.ex{i % 5}.com/p{i % 40}?q=1#top" if i % 7 else urls[i // 7 % 5], [None, "", "same\r\n\r\nbody", f"<p>é {i}</p>"][i % 4]) for i in range(60)]
+    pages += [(None, "http://ex1.com/p1?q=1", "no id"), (None, "http://ex1.com/p1?q=1", "no id"), (77, "http://ex2.com/long", "x<p>" * 1_500_000), (5, pages[5][1], "again"), (5, pages[5][1], "again")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit("clash")).withColumn("file", F.lit(1)).withColumn("sha1", F.lit("x"))
     latest = {}
     for i, _, h in pages:
-        latest[h or ""] = max(i, latest.get(h or "", -1))
-    got = {r["page_id"]: r for r in warc.archive(df).collect()}
-    import base64
-
-    for i, _, h in pages:
+        if i is not None:
+            latest[h or ""] = max(i, latest.get(h or "", -1))
+    want = Counter()
+    for i, u, h in pages:
         b = (h or "").encode()
-        again = latest[h or ""] != i
-        r = got[i]
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
-        assert (r["record_type"], r["refers_to"]) == (("revisit", latest[h or ""]) if again else ("response", None))
-        assert again or r["html"] == (h or "")
-    warc.write(df, f"{tmp_path}/a")
+        again = i is not None and latest[h or ""] != i
+        url = u if u is None else u.replace("\n", "%0A")
+        want[(i, url, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", latest[h or ""] if again else None, None if again else h or "")] += 1
+    names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html")
+    assert Counter(tuple(r[n] for n in names) for r in warc.archive(df.repartition(3)).collect()) == want
+    warc.write(df, f"{tmp_path}/a", archive=1000)
     warc.index(spark, f"{tmp_path}/a", f"{tmp_path}/i")
-    one = warc.fetch(spark, f"{tmp_path}/a", f"{tmp_path}/i", ["https://ex3.com/p3?q=1"]).collect()
-    assert [r["page_id"] for r in one] == [3]
+    assert len(warc._contents(f"{tmp_path}/a")) > 5
+    some = spark.createDataFrame([("https://ex3.com/p3?q=1",), ("http://x.org/a\tb",), ("http://nowhere.org/",)], "url string")
+    found = sorted(r["page_id"] for r in warc.fetch(f"{tmp_path}/a", f"{tmp_path}/i", some).collect())
+    key = lambda u: warc.surt(None if u is None else u.replace("\n", "%0A"))
+    assert found == sorted(i for i, u, _ in pages if key(u) in (key("http://ex3.com/p3?q=1"), key("http://x.org/a\tb")))
     assert warc.surt("http://user@WWW.Ex.org:8080/a?b#c") == "org,ex:8080)/a?b"
+    with open(next(iter((tmp_path / "a").glob("*.warc.gz"))), "rb") as f:  # any gzip reader can read an archive
+        assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
+    least = {r["page_id"]: r["record_type"] for r in warc.archive(df.where("page_id < 60"), least=5).collect()}
+    assert all(least[i] == "response" for i in range(60) if i % 4 < 2)
 
 
 def test_toxicity():
