@@ -6,8 +6,10 @@ Counts of the raw model cover every document; those of the target model a bounde
 Both are vectors of ``buckets`` numbers, added per task and then over tasks. The Gumbel noise comes from a hash of
 doc_id, so reruns agree. The cut is found by a distributed sort of the noisy weights.
 
-Defined cases: null and empty texts have log weight 0 (no evidence); without a good label all weights are 0; ties go to
-the smaller doc_id; repeated rows are drawn each on their own, with equal keys.
+Defined cases: null and empty texts have log weight 0 (no evidence); very long texts count whole; without a good label all
+weights are 0, and without a share none is kept unless there is no label at all (then all are); ties go to the smaller doc_id
+(null first); repeated rows are drawn each on their own, with equal keys; an empty table gives an empty result; columns
+beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, chunks, mix, numbered, words_of
+from .common import U, buffers, chunks, cut, mix, numbered, smallest, words_of
 
 BUCKETS, SAMPLE, SEED = 1 << 14, 6000, 11
 
@@ -71,8 +73,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     if share is None:
-        share = marked.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 1.0
-    good = marked.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").collect()
+        share = marked.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+        share = 1.0 if share is None else share
+    good = smallest(marked.where("quality = 1"), F.xxhash64("doc_id"), sample).select("doc_id").collect()
     target = frozenset(r["doc_id"] for r in good)
     counts = docs.mapInArrow(_counted(target, buckets), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, fine = np.ones(buckets), np.ones(buckets)
@@ -83,6 +86,6 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     weighed = docs.mapInArrow(_weighed(ratio), "doc_id long, n_features long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     noisy = weighed.withColumn("noisy_weight", F.col("log_weight") - F.log(-F.log(uniform)))
-    placed = numbered(noisy, [F.desc("noisy_weight"), "doc_id"], "place")
+    placed = numbered(cut(noisy, "weighed"), [F.desc("noisy_weight"), "doc_id"], "place")
     rows = placed.count()
     return placed.withColumn("kept", F.col("place") < int(np.ceil(share * rows - 1e-9)))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest
+
 DECAY, SPAN = 0.75, 6
 #: Documents of each label to train on, at most; landmarks, at most.
 SAMPLE, LANDMARKS = 1000, 96
@@ -257,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for label in (0, 1):
-        part = labelled.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = smallest(labelled.where(F.col("toxic") == label), F.xxhash64("doc_id"), sample)
         chosen = part if chosen is None else chosen.union(part)
     # The ids of the sample are few and bounded; they prune the scan of the texts.
     ids = {r["doc_id"]: r["toxic"] for r in chosen.collect()}

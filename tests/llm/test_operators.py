@@ -121,23 +121,27 @@ def test_sharding(docs, rows):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def filled(sizes, most):
+    shards = [0]
+    for b in sizes:
+        if shards[-1] + b > most:
+            shards.append(0)
+        shards[-1] += b
+    return shards
+
+
 def test_sharding_smallest_capacity(spark):
     """Capacity and cuts against greedy filling of every capacity, with groups of very unequal sizes."""
-    for n_shards, sizes in ((2, [8, 3, 11, 11]), (2, [1, 2, 3, 60, 1]), (4, [5, 40, 2, 9, 33, 1, 1, 28, 7, 36])):
-        table = [(h, b, sum(sizes[: h + 1])) for h, b in enumerate(sizes)]
-
-        def filled(most):
-            shards = [0]
-            for b in sizes:
-                if shards[-1] + b > most:
-                    shards.append(0)
-                shards[-1] += b
-            return shards
-
-        want = next(c for c in range(max(sizes), sum(sizes) + 1) if len(filled(c)) <= n_shards)
-        most, cuts = sharding.capacity(spark.createDataFrame(table, "h long, bytes long, upto long").coalesce(1).cache(), n_shards)
+    r = random.Random(3)
+    cases = [(2, [8, 3, 11, 11]), (2, [1, 2, 3, 60, 1]), (4, [5, 40, 2, 9, 33, 1, 1, 28, 7, 36]), (8, [3]), (3, [int(r.lognormvariate(3, 1.5)) + 1 for _ in range(400)] + [2000])]
+    for n_shards, sizes in cases:
+        hashes = sorted(r.randint(-(2**63), 2**63 - 1) if len(sizes) > 20 else h for h in range(len(sizes)))
+        want = next(c for c in range(max(sizes), sum(sizes) + 1) if len(filled(sizes, c)) <= n_shards)
+        rows = [(h, part) for h, b in zip(hashes, sizes) for part in ([b // 2, b - b // 2] if b > 3 else [b])]
+        most, ends, cuts = sharding.capacity(spark.createDataFrame(rows, "h long, size long"), n_shards)
         shards = [b - a for a, b in zip([0, *cuts], [*cuts, sum(sizes)])]
-        assert most == want and [x for x in shards if x] == filled(want), sizes
+        assert most == want and shards == filled(sizes, want), sizes
+        assert [sum(b for h, b in zip(hashes, sizes) if h <= e) for e in ends] == cuts
 
 
 def test_mixing(docs, rows):
@@ -289,10 +293,29 @@ def test_toxicity():
 
 def test_resampling(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(k % 2 == 0), 0) for k, (i, _, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
-    got = resampling.resample(docs, labels, share=0.25).collect()
-    assert len(got) == len(rows) and sum(r["kept"] for r in got) == -(-len(rows) // 4)
-    assert sorted(r["place"] for r in got) == list(range(len(rows)))
-    assert min(r["noisy_weight"] for r in got if r["kept"]) >= max(r["noisy_weight"] for r in got if not r["kept"])
+    got = {r["doc_id"]: r for r in resampling.resample(docs, labels, share=0.25, buckets=1 << 22).collect()}
+    assert len(got) == len(rows) and sum(r["kept"] for r in got.values()) == -(-len(rows) // 4)
+    assert [r["doc_id"] for r in sorted(got.values(), key=lambda r: r["place"])] == [r["doc_id"] for r in sorted(got.values(), key=lambda r: (-r["noisy_weight"], r["doc_id"]))]
+    assert sorted(r["place"] for r in got.values()) == list(range(len(rows))) and all(r["kept"] == (r["place"] < -(-len(rows) // 4)) for r in got.values())
+    # Weights: with so many buckets that no two features share one, the two models are plain counts, one added to each bucket.
+    raw, good, own = Counter(), Counter(), {}
+    for k, (i, text, _) in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        own[i] = Counter([(x,) for x in w] + list(zip(w, w[1:])))
+        raw += own[i]
+        good += own[i] if k % 2 == 0 else Counter()
+    a, b = sum(good.values()) + (1 << 22), sum(raw.values()) + (1 << 22)
+    for i, features in own.items():
+        weight = sum(n * (np.log((good[f] + 1) / a) - np.log((raw[f] + 1) / b)) for f, n in features.items())
+        assert got[i]["n_features"] == sum(features.values()) and abs(got[i]["log_weight"] - weight) < 1e-6
+    # The noise: that of the smallest uniform of n is what the hash of doc_id gives on each run; it is finite and differs.
+    noise = {i: r["noisy_weight"] - r["log_weight"] for i, r in got.items()}
+    assert np.isfinite(list(noise.values())).all() and len({round(x, 9) for x in noise.values()}) == len(rows)
+    again = {r["doc_id"]: r["noisy_weight"] for r in resampling.resample(docs.repartition(5), labels, buckets=1 << 22).collect()}
+    assert all(abs(again[i] - r["noisy_weight"]) < 1e-6 for i, r in got.items())
+    none = labels.withColumn("quality", F.lit(0))
+    assert not any(r["kept"] for r in resampling.resample(docs, none).collect())
+    assert all(r["kept"] and r["log_weight"] == 0 for r in resampling.resample(docs, labels.where("false")).collect())
 
 
 def test_empty_tables(spark, empty):
