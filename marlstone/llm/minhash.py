@@ -15,7 +15,9 @@ Bands take the values of 64 permutations, 32 bands of 4 values: a pair of simila
 The first sketch has a bit for each value of all 256; the parities, exact at any size, tell most up to some 500 shingles.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words (null, empty, white space) a
-document has no shingles and no links; repeated rows of one doc_id are one node; an empty table gives an empty result.
+document has no shingles and no links; rows of one doc_id are one document for the components, and each row tells the size
+of its own set; rows without a doc_id have no links and no component, and are kept; very long texts count whole; an
+empty table gives an empty result; columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_long, buffers, chunks, cut, mix, words_of
+from .common import U, as_long, buffers, chunks, cut, mix, numbered, words_of
 from .components import components
 
 #: Permutations (two values each); those whose values are banded; bands.
@@ -164,6 +166,22 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     reachable by links. width and percent are the shingle's words and the threshold.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _linked(docs, width, percent)
+    # Rows are numbered in order of doc_id, so that the smallest row of a component has its smallest doc_id.
+    rows = cut(numbered(docs.where("doc_id is not null"), ["doc_id", F.xxhash64("text")], "row"), "rows")
+    first = rows.groupBy("doc_id").agg(F.min("row").alias("first"))
+    same = cut(rows.join(first, "doc_id").where("row <> first").select("row", "first"), "same")
+    found = _linked(rows.select(F.col("row").alias("doc_id"), "text"), width, percent, same)
+    ids = rows.select("row", F.col("doc_id").alias("id"))
+    named = found.join(ids, F.col("doc_id") == F.col("row")).select("id", "n_shingles", "component_id")
+    named = named.join(ids.select("row", F.col("id").alias("least")), F.col("component_id") == F.col("row"))
+    rest = _linked(docs.where("doc_id is null"), width, percent)
+    return named.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept")).union(rest)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None = None) -> DataFrame:
+    """near for unique (or null) doc_ids; same holds further links of doc_ids."""
     longs = ", ".join(f"{c} long" for c in [*_SKETCH, *_PARITY])
     signed = cut(docs.mapInArrow(_signed(width), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signed")
     one = F.min(F.struct("doc_id", "bands", *_SKETCH, *_PARITY)).alias("one")
@@ -202,10 +220,8 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         return cut(counted.join(likely, ["a", "b"]).where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
 
     # Full sets of all that share a key with another: the texts are shuffled once.
-    repeated = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs
     nodes = groups.select("node").distinct().hint("shuffle_merge")
-    sets = cut(texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_sets(width), "node long, hashes binary"), "sets")
+    sets = cut(docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_sets(width), "node long, hashes binary"), "sets")
     starred = groups.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = confirmed(starred)
     found = cut(components(links), "components")
@@ -225,4 +241,11 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     named = classes.join(final, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
+    if same is not None:  # links between rows also join the components of what they belong to
+        of = cut(joined.select("doc_id", component.alias("c")), "of")
+        a, b = same.columns
+        ends = same.join(of.toDF(a, "u"), a).join(of.toDF(b, "v"), b).select("u", "v")
+        whole = components(ends).toDF("component_id", "whole")
+        joined = joined.withColumn("component_id", component).join(whole, "component_id", "left")
+        component = F.coalesce("whole", "component_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
