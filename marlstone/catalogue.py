@@ -13,6 +13,7 @@ _MODULES = (
     "operators.search",
     "operators.graph",
     "operators.entities",
+    "operators.mentions",
     "operators.etl",
     "operators.reports",
     "operators.maintenance",
