@@ -14,6 +14,7 @@ _MODULES = (
     "operators.graph",
     "operators.entities",
     "operators.mentions",
+    "operators.pages",
     "operators.etl",
     "operators.reports",
     "operators.maintenance",

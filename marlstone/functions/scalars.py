@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import registry
 from ..views import DOCS, documents, table
-from .text import excerpt, normalize, split_blocks, words
+from .text import excerpt, normalize, query_terms, split_blocks, terms
 
 QUERIES, SQL, query = registry()
 
@@ -16,9 +16,21 @@ def f1(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("raw", F.concat("p_name", F.lit("  "), "p_type")).select("p_partkey", normalize("raw").alias("name"))
 
 
-@query("f2_words", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents")
+_TERM_SQL = "'\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*'"
+
+
+@query("f2_words", f"SELECT doc_id, len(regexp_extract_all(lower(text), {_TERM_SQL})) AS n, sha256(array_to_string(regexp_extract_all(lower(text), {_TERM_SQL}), ' ')) AS hash FROM documents")
 def f2(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words("text")).cast("long").alias("n"))
+    """Words of every text; letters of any script, in-word apostrophes and numbers kept whole."""
+    found = table(spark, sf_dir, "documents").select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("hash"))
+
+
+@query("f3_query_terms", "SELECT unnest(['加息 AI', '加 息 ai', 'ＡＩ  don''t 3.14 don''t', '央行，加息!']) AS q, unnest(['加+息 ai', '加 息 ai', 'ai don''t 3.14', '央+行 加+息']) AS units")
+def f3(spark, sf_dir):
+    """Queries to units: neighbouring Han characters are a phrase, anything between them parts it."""
+    asked = ["加息 AI", "加 息 ai", "ＡＩ  don't 3.14 don't", "央行，加息!"]
+    return spark.createDataFrame([(q, " ".join("+".join(u) for u in query_terms(q))) for q in asked], "q string, units string")
 
 
 @query("f7_type_from_slug", "SELECT url, CASE WHEN contains(url, '/en/') THEN 'en' WHEN contains(url, '/fr/') THEN 'fr' WHEN contains(url, '/de/') THEN 'de' WHEN contains(url, '/es/') THEN 'es' ELSE 'note' END AS type FROM pages")
@@ -83,9 +95,19 @@ def r4(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.element_at(as_map, key).alias("first_value"))
 
 
-@query("t1_blocks", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, true AS lossless FROM documents")
+@query("t1_blocks", "SELECT doc_id, CAST(k AS INTEGER) AS ordinal, CAST(1800 * k AS INTEGER) AS start_offset, CAST(least(1800 * (k + 1), length(text)) AS INTEGER) AS end_offset, sha256(substr(text, CAST(1800 * k + 1 AS BIGINT), 1800)) AS hash FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 1800.0) AS BIGINT))) AS k FROM documents WHERE text <> '')")
 def t1(spark, sf_dir):
-    """Blocks of every document; their texts join to it again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split_blocks(F.coalesce("text", F.lit(""))).alias("b"))
-    joined = F.array_join(F.transform("b", lambda x: x["text"]), "")
-    return docs.select("doc_id", F.char_length(joined).cast("long").alias("chars"), (joined == F.col("text")).alias("lossless"))
+    """Blocks of every document. The supplied texts have no markers, headings or blank lines: these are in t1_marked and the tests."""
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_blocks(F.coalesce("text", F.lit("")))).alias("ordinal", "b"))
+    return split.select("doc_id", "ordinal", "b.start_offset", "b.end_offset", F.sha2("b.text", 256).alias("hash"))
+
+
+@query("t1_marked", """SELECT doc_id, CAST(k - 1 AS INTEGER) AS ordinal, CASE WHEN k > 1 THEN CAST(least(k - 1, 2) AS INTEGER) END AS pdf_page,
+  CASE WHEN k = 1 THEN 'A' WHEN k = 2 THEN 'A|C' WHEN doc_id % 2 = 0 THEN 'A|D' ELSE 'E' END AS section FROM documents, range(1, 5) t(k)""")
+def t1_marked(spark, sf_dir):
+    """Pages and headings: a deeper heading ends with the next of its level or above; a long page ends at a blank line."""
+    last = F.when(F.col("doc_id") % 2 == 0, "### D").otherwise("# E")
+    fill = F.repeat(F.lit("x"), 1000)
+    body = F.concat(F.lit("# A\ntext\n## PDF 第 1 页 \n### C\n## PDF 第 2 页\n"), last, F.lit("\n"), fill, F.lit("\n\n"), fill)
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_blocks(body)).alias("ordinal", "b"))
+    return split.select("doc_id", "ordinal", "b.pdf_page", F.array_join("b.section", "|").alias("section"))

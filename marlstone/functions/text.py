@@ -20,10 +20,46 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).lower())
 
 
-def normalize(text: str) -> Column:
-    """Compatibility form, trimmed, white space collapsed, lower case; plain ASCII never leaves the JVM."""
+#: Characters of Latin, Greek, Cyrillic and Han texts that are their own compatibility form, and join with nothing.
+_COMPOSED = "[\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0391-\\u03A9\\u03B1-\\u03C9\\u0400-\\u045F\\u2010\\u2012-\\u2016\\u2018-\\u201E\\u2020-\\u2022\\u20AC\\u4E00-\\u9FFF\\u3001-\\u3011]"
+
+
+def normalize(text: str | Column) -> Column:
+    """Compatibility form, trimmed, white space collapsed, lower case; texts that are in that form never leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
     plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return F.when(F.col(text).rlike("^[\\x00-\\x7F]*$"), plain).otherwise(F.pandas_udf(_nfkc, "string")(F.col(text)))
+    return F.when(text.rlike(f"^{_COMPOSED}*$"), plain).otherwise(F.pandas_udf(_nfkc, "string")(text))
+
+
+#: Words: a Han character; a number with points or commas inside; a run of letters, marks, digits and _ with apostrophes inside.
+_RUN = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}]]+"
+TERM = rf"\p{{IsHan}}|\p{{Nd}}+(?:[.,]\p{{Nd}}+)+|{_RUN}(?:['’]{_RUN})*"
+
+
+def terms(text: str | Column) -> Column:
+    """Words of a text in order, folded. There is no dictionary of Chinese: each Han character is a word."""
+    return F.regexp_extract_all(normalize(text), F.lit(TERM), 0)
+
+
+def query_terms(q: str, most: int = 80) -> list[list[str]]:
+    """Units of a query: a word, or the neighbouring Han characters of a phrase; each once, in order."""
+    import regex
+
+    found: list[list[str]] = []
+    end = -1
+    run = r"[[\p{L}\p{M}\p{N}_]--\p{Han}]+"
+    for m in regex.finditer(rf"(?V1)\p{{Han}}|\p{{Nd}}+(?:[.,]\p{{Nd}}+)+|{run}(?:['’]{run})*", unicodedata.normalize("NFKC", q).lower()):
+        han = regex.fullmatch(r"\p{Han}", m[0])
+        if han and m.start() == end:
+            found[-1].append(m[0])
+        else:
+            found.append([m[0]])
+        end = m.end() if han else -1
+    out: list[list[str]] = []
+    for unit in found:
+        if unit not in out:
+            out.append(unit)
+    return out[:most]
 
 
 def excerpt(text: str, n: int = 200) -> Column:
@@ -35,34 +71,51 @@ def excerpt(text: str, n: int = 200) -> Column:
     return F.when(F.char_length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
 
 
-_MARK = re.compile(r"^## PDF 第 (\d+) 页$", re.M)
-_HEAD = re.compile(r"^(#{1,6}) (.+)$", re.M)
+_MARK = re.compile(r"^## PDF 第 (\d+) 页\s*$", re.M)
+_FIRST = re.compile(r"## PDF 第 (\d+) 页")
+_HEAD = re.compile(r"^(#{1,6}) (.+?)\r?$", re.M)
+
+
+def _spans(body: str, most: int):
+    """Spans of a text without characters beyond the basic plane, or of one spelt in UTF-16 units: start, end, page, headings."""
+    starts = sorted({0, *(m.start() for m in _MARK.finditer(body))})
+    levels: list[str | None] = [None] * 6
+    page = None
+    for start, end in zip(starts, [*starts[1:], len(body)]):
+        if mark := _FIRST.match(body, start):
+            page = int(mark[1])
+        while start < end:
+            stop = min(end, start + most)
+            if stop < end:
+                gap = body.rfind("\n\n", 0, stop + 2)
+                if gap > start + most / 3:
+                    stop = gap + 2
+                elif 0xD800 <= ord(body[stop - 1]) <= 0xDBFF:
+                    stop -= 1
+            for h in _HEAD.finditer(body[start:stop]):
+                if not _FIRST.match(h[0]):
+                    levels[len(h[1]) - 1 :] = [h[2].strip()] + [None] * (6 - len(h[1]))
+            yield start, stop, page, [t for t in levels if t]
+            start = stop
 
 
 def blocks(body: str, most: int = 1800) -> list[tuple[int, int, int | None, list[str], str]]:
     """(start, end, page, heading path, text) of spans whose texts join to body.
 
     A page marker begins a span; a longer span ends at the last blank line behind a third of its length, else at
-    ``most`` UTF-16 units, never inside a surrogate pair. Offsets count code points.
+    ``most`` UTF-16 units, never inside a surrogate pair. A heading replaces those of its level and below. Offsets count
+    code points.
     """
-    units = lambda t: len(t) + sum(ord(c) > 0xFFFF for c in t)
-    starts = sorted({0, *(m.start() for m in _MARK.finditer(body))})
-    out, path, page = [], [], None
-    for a, b in zip(starts, [*starts[1:], len(body)]):
-        if mark := _MARK.match(body, a):
-            page = int(mark[1])
-        while a < b:
-            end = min(b, a + most)
-            while units(body[a:end]) > most:
-                end -= 1
-            if end < b and (gap := body.rfind("\n\n", a + most // 3, end)) >= 0:
-                end = gap + 2
-            text = body[a:end]
-            for h in _HEAD.finditer(text):
-                if not _MARK.match(h[0]):
-                    path = [*path[: len(h[1]) - 1], h[2].strip()]
-            out.append((a, end, page, list(path), text))
-            a = end
+    if not body or ord(max(body)) <= 0xFFFF:
+        return [(a, b, page, path, body[a:b]) for a, b, page, path in _spans(body, most)]
+    raw = body.encode("utf-16-le", "surrogatepass")
+    units = "".join(map(chr, memoryview(raw).cast("H")))
+    out, at = [], 0
+    whole = lambda t: t.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")
+    for a, b, page, path in _spans(units, most):
+        text = whole(units[a:b])
+        out.append((at, at + len(text), page, [whole(t) for t in path], text))
+        at += len(text)
     return out
 
 
