@@ -71,7 +71,7 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, epochs: int = EPOCHS, k
     aims = aims.withColumn("_whole", whole).withColumn("_rest", F.floor("target").cast("long") - F.col("_whole") * F.col("source_size"))
     aims = cut(aims.withColumnRenamed("source", "_s"), "aims")
     own = F.col("source").eqNullSafe(F.col("_s"))
-    bits = max(4, min(40, ((sizes.agg(F.max("_n")).first()[0] or 0) // RANGE).bit_length()))
+    bits = max(10, min(40, ((sizes.agg(F.max("_n")).first()[0] or 0) // RANGE).bit_length()))
     ranged = narrow.withColumn("_b", F.shiftright("_key", 64 - bits))
     sums = ranged.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
