@@ -19,6 +19,7 @@ _MODULES = (
     "operators.reports",
     "operators.maintenance",
     "functions.scalars",
+    "functions.strings",
     "sources.connectors",
     "plans.incremental",
     "streaming.events",
