@@ -18,6 +18,7 @@ _MODULES = (
     "operators.etl",
     "operators.reports",
     "operators.maintenance",
+    "operators.cleanup",
     "functions.scalars",
     "functions.strings",
     "sources.connectors",

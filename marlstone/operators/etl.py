@@ -83,13 +83,6 @@ def t10(spark, sf_dir):
     return found.union(few)
 
 
-@query("t5_classify", f"{DOCS} SELECT document_id, CASE WHEN regexp_matches(lower(title), 'src1[0-9]?$') THEN 'macro' WHEN regexp_matches(lower(title), 'src[23]$') THEN 'sector' WHEN n_chars > 5000 THEN 'deep' ELSE 'note' END AS category FROM docs")
-def t5(spark, sf_dir):
-    """The first rule that holds."""
-    t = F.lower("title")
-    return documents(spark, sf_dir).select("document_id", F.when(t.rlike("src1[0-9]?$"), "macro").when(t.rlike("src[23]$"), "sector").when(F.col("n_chars") > 5000, "deep").otherwise("note").alias("category"))
-
-
 @query("t7_license_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^(Licensed under|All rights reserved)'))) AS removed FROM documents")
 def t7(spark, sf_dir):
     """Boilerplate lines of each document, counted as they are taken out."""

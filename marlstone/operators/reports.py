@@ -149,15 +149,6 @@ def t21(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", file_name_ok(name, ["GS", "MS"]).alias("ok"))
 
 
-@query("t18_report_name", f"{DOCS} SELECT document_id, CASE WHEN published_at IS NULL THEN NULL ELSE concat_ws('_', published_at, upper(source), coalesce(lower(institution), 'research'), 'Other', 'NA', 'Report-' || doc_id, (n_chars // 1800 + 1) || 'p') END AS name, CASE WHEN published_at IS NULL THEN 'no_date' ELSE 'named' END AS status FROM docs")
-def t18(spark, sf_dir):
-    """Seven-part names; a document without a publication date has a reason instead."""
-    dated = F.col("published_at").isNotNull()
-    pages = F.concat((F.floor(F.col("n_chars") / 1800) + 1).cast("string"), F.lit("p"))
-    parts = F.concat_ws("_", "published_at", F.upper("source"), F.coalesce(F.lower("institution"), F.lit("research")), F.lit("Other"), F.lit("NA"), F.concat(F.lit("Report-"), "doc_id"), pages)
-    return documents(spark, sf_dir).select("document_id", F.when(dated, parts).alias("name"), F.when(dated, "named").otherwise("no_date").alias("status"))
-
-
 @query(
     "t19_broker_check",
     """WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(text, '(?i) (?:the|and) ')) AS en, len(regexp_extract_all(text, '(?i) (?:der|und) ')) AS de, len(regexp_extract_all(text, '(?i) (?:le|et) ')) AS fr, length(regexp_replace(text, '\\s', '', 'g')) AS ink FROM documents),
