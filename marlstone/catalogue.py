@@ -11,6 +11,7 @@ _MODULES = (
     "operators.aggregates",
     "operators.windows",
     "operators.search",
+    "operators.retrieval",
     "operators.graph",
     "operators.entities",
     "operators.mentions",
