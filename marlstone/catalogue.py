@@ -13,6 +13,7 @@ _MODULES = (
     "operators.search",
     "operators.retrieval",
     "operators.graph",
+    "operators.networks",
     "operators.entities",
     "operators.mentions",
     "operators.pages",
