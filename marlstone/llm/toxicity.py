@@ -5,14 +5,17 @@ power of the characters it spans (six at most), normalised to 1 for equal words:
 left out stays near its plain form. Words are folded first (case, letters written as digits or signs), punctuation
 inside a word is dropped, and a run of single letters is read as one word.
 
-Training sees sentences of labelled documents, a bounded sample of ``sample`` documents of each label. Landmarks are the
-words that separate the labels best; a word's features are its kernel with the landmarks, whitened (Nystroem). A
-document carries its label as a whole, so the positive instances are each toxic document's most telling word under
-the current model (a few rounds), and the negative ones are all words of clean documents near any landmark. A document
-scores as its most toxic word does; a logistic curve fitted on the sample turns that into 0 to 1.
-
-Defined cases: null and empty texts have no words and score as clean; rows without a label are not trained on; with
-no toxic or no clean label at all, every document scores the share of toxic labels (0 if there are none).
+Training sees the sentences of labelled documents, a bounded sample of ``sample`` documents of each label. Landmarks are the
+words that separate the labels best. Subsequences do not cross words, so a sentence's kernel with a landmark is that of its
+nearest word; these values, whitened (Nystroem), are the sentence's features. A document carries its label as a whole, so the
+positive instances are each toxic document's most telling sentence under the current model (a few rounds), and the negative
+ones are all sentences of clean documents with a word near any landmark. A document scores as its most toxic sentence does; a
+logistic curve fitted on the sample turns that into 0 to 1.
+
+Defined cases: null and empty texts have no words and score as clean; very long texts are scored whole, sentence by sentence;
+repeated rows score alike; rows without a label or a doc_id are not trained on; labels that differ for one doc_id count as toxic;
+with no toxic or no clean label at all, every document scores the share of toxic labels (0 if there are none); an empty table
+gives an empty result. Columns beside text are carried along, whatever their names; one called score gives way.
 """
 
 from __future__ import annotations
@@ -39,6 +42,14 @@ _GAPS = [(g, h) for g in range(1, SPAN - 1) for h in range(1, SPAN - g)]
 _LETTERS = 32
 
 
+#: A sentence ends at a line's end, or at a stop behind a word of two letters or more.
+_SENTENCE = re.compile(r"(?<=\w\w[.!?])\s+|\n+")
+
+
+def sentences(text: str) -> list[str]:
+    return _SENTENCE.split(text)
+
+
 def fold(text: str) -> set[str]:
     """The distinct folded words of a text."""
     text = text.lower()
@@ -147,28 +158,49 @@ class Model:
     def __init__(self, landmarks=(), weights=None, bias=-1.0, slope=1.0, shift=0.0, base=None):
         self.kernel, self.weights = Kernel(list(landmarks)), weights
         self.bias, self.slope, self.shift, self.base = bias, slope, shift, base
-        self.seen: dict[str, float] = {}
+        self.seen: dict[str, np.ndarray] = {}  # kernel rows of words near a landmark
+        self.alone: dict[str, float] = {}  # their margins as sentences of one word
         self.clean: set[str] = set()
 
+    def _learn(self, words: list[str]) -> None:
+        parts = [(w, p) for w in words for p in plain(w) if len(p) >= 3]
+        index, rows = self.kernel([p for _, p in parts])
+        for i, row in zip(index.tolist(), rows):
+            word = parts[i][0]
+            self.seen[word] = np.maximum(row, self.seen[word]) if word in self.seen else row
+        for word in {parts[i][0] for i in index.tolist()}:
+            self.alone[word] = float(self.seen[word] @ self.weights + self.bias)
+        self.clean.update(w for w in words if w not in self.seen)
+
+    def _sentence(self, near: set[str]) -> float:
+        if len(near) == 1:
+            return self.alone[next(iter(near))]
+        return float(np.max([self.seen[w] for w in near], axis=0) @ self.weights + self.bias)
+
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        """Margin of each text's most toxic word; the bias where no word is near a landmark."""
-        bags = [fold(t or "") for t in texts]
-        new = list(set().union(*bags) - self.clean - self.seen.keys()) if bags else []
-        if len(self.clean) + len(self.seen) > 400_000:
+        """Margin of each text's most toxic sentence; the bias where no word is near a landmark."""
+        if len(self.clean) > 400_000 or len(self.seen) > 50_000:
             self.clean.clear()
             self.seen.clear()
-            new = list(set().union(*bags))
-        parts = [(w, p) for w in new for p in plain(w) if len(p) >= 3]
-        index, rows = self.kernel([p for _, p in parts])
-        value = rows @ self.weights + self.bias if len(index) else np.zeros(0)
-        best: dict[str, float] = {}
-        for i, v in zip(index.tolist(), value.tolist()):
-            w = parts[i][0]
-            best[w] = max(v, best.get(w, v))
-        self.seen.update(best)
-        self.clean.update(w for w in new if w not in best)
-        keys = self.seen.keys()
-        return np.array([max([self.bias, *(self.seen[w] for w in keys & bag)]) for bag in bags])
+            self.alone.clear()
+        bags = [fold(t or "") for t in texts]
+        new = list(set().union(*bags) - self.clean - self.seen.keys()) if bags else []
+        self._learn(new)
+        keys, out = self.seen.keys(), []
+        for text, bag in zip(texts, bags):
+            near = keys & bag
+            best = self.bias
+            if len(near) == 1:
+                best = max(best, self._sentence(near))
+            elif near:
+                left = set(near)
+                for sentence in sentences((text or "").lower()):
+                    if here := near.intersection(sentence.split()):
+                        best = max(best, self._sentence(here))
+                        left -= here
+                best = max([best, *(self.alone[w] for w in left)])  # words spelt letter by letter, which may cross sentences
+            out.append(best)
+        return np.array(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.base is not None:
@@ -181,7 +213,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(labels) == 1
     if not y.any() or y.all():
         return Model(base=float(y.mean()) if len(y) else 0.0)
-    bags = [{p for w in fold(t or "") for p in plain(w) if len(p) >= 3} for t in texts]
+    spoken = [[{p for w in fold(x) for p in plain(w) if len(p) >= 3} for x in sentences(t or "")] for t in texts]
+    bags = [set().union(*x) for x in spoken]
     count = {True: {}, False: {}}
     for bag, label in zip(bags, y):
         own = count[bool(label)]
@@ -211,10 +244,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     words = sorted(set().union(*bags))
     index, rows = kernel(words)
     at = {words[i]: k for k, i in enumerate(index.tolist())}
-    z = rows @ whiten
-    near = [np.array(sorted(at[w] for w in bag if w in at), np.int64) for bag in bags]
+    gains = np.array([gain.get(words[i], 0.0) for i in index.tolist()])
+    known: dict[tuple[int, ...], int] = {}  # sentences by the words in them that are near a landmark
+    near = [np.array(sorted({known.setdefault(tuple(sorted(at[w] for w in x if w in at)), len(known)) for x in doc if not at.keys().isdisjoint(x)}), np.int64) for doc in spoken]
+    z = np.array([rows[list(k)].max(0) for k in known]).reshape(len(known), len(chosen)) @ whiten
+    value = np.array([gains[list(k)].max() for k in known])
     clean = np.unique(np.concatenate([n for n, label in zip(near, y) if not label] or [np.zeros(0, np.int64)]).astype(np.int64))
-    value = np.array([gain.get(words[i], 0.0) for i in index.tolist()])
     weights, bias = np.zeros(len(chosen)), -1.0
     for _ in range(rounds):
         witness = np.array([n[np.argmax(value[n])] for n, label in zip(near, y) if label and len(n)], np.int64)

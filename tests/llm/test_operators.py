@@ -325,3 +325,52 @@ def test_empty_tables(spark, empty):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resampling.resample(empty, labels).collect() == [] and toxicity.score(empty, toxicity.train(empty, labels)).collect() == []
+
+
+def test_subsequence_kernel():
+    """The kernel and its Nystroem features against plain sums over all subsequences of three letters."""
+    import itertools
+
+    def counts(word):
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def kernel(a, b):
+        x, y = counts(a), counts(b)
+        both = sum(v * y[c] for c, v in x.items())
+        return both / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())), both / sum(v * v for v in y.values())
+
+    marks = ["blockhead", "wretch", "numpty"]
+    words = ["blockhead", "bloxckhead", "blockheads", "wretched", "wrech", "nxumptxy", "table", "chair", "head", "stretch"]
+    index, rows = toxicity.Kernel(marks)(words)
+    for w, row in ((words[i], r) for i, r in zip(index.tolist(), rows)):
+        for m, got in zip(marks, row):
+            want, share = kernel(w, m)
+            assert abs(got - (want if share >= toxicity.NEAR else 0)) < 1e-5, (w, m)
+    missing = set(words) - {words[i] for i in index.tolist()}
+    assert all(kernel(w, m)[1] < toxicity.NEAR + 1e-9 for w in missing for m in marks) and "table" in missing
+    # As many landmarks as there are words: the features' products are the kernel itself.
+    index, square = toxicity.Kernel(marks)(marks)
+    values, vectors = np.linalg.eigh(square)
+    z = square @ (vectors / np.sqrt(values) @ vectors.T)
+    assert np.allclose(z @ z.T, square, atol=1e-6)
+
+
+def test_held_out_labels_are_not_learnt_from(spark):
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "theta", "kappa"]
+    table = [(i, ". ".join(" ".join(r.choice(words) for _ in range(8)) for _ in range(3)) + (f" you {r.choice(['blockhead', 'wretch', 'numpty'])}" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    true = [(i, 0, int(i % 4 == 0)) for i, _ in table]
+    flipped = [(i, 0, 1 - t if held(i) else t) for i, _, t in true]
+    scores = []
+    for labels in (true, flipped):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        scores.append({x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()})
+    assert scores[0] == scores[1]
+    assert all((scores[0][i] >= 0.7) == bool(t) for i, _, t in true if held(i))
+    assert {x["doc_id"]: x["h"] for x in docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()} == {i: held(i) for i, _ in table}
