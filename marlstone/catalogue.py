@@ -21,10 +21,12 @@ _MODULES = (
     "operators.reports",
     "operators.maintenance",
     "operators.cleanup",
+    "operators.grounding",
     "functions.scalars",
     "functions.strings",
     "sources.connectors",
     "plans.incremental",
+    "plans.projection",
     "streaming.events",
 )
 

@@ -91,11 +91,6 @@ def t7(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(bad).cast("long").alias("removed"))
 
 
-@query("t17_structure", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asked, count(*) FILTER (WHERE role <> 'user') AS answered, bool_and(length(text) > 0) AS filled FROM conversations GROUP BY 1")
-def t17(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.count_if(F.col("role") != "user").alias("answered"), F.every(F.char_length("text") > 0).alias("filled"))
-
-
 @query("b2_rename_conflict", f"{DOCS} SELECT lower(source || '-' || (doc_id % 50)) AS target, count(DISTINCT family_id) AS n FROM docs GROUP BY 1 HAVING count(DISTINCT family_id) > 1")
 def b2(spark, sf_dir):
     """Targets that different contents claim."""

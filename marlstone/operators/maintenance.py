@@ -113,15 +113,6 @@ def b10(spark, sf_dir):
     return docs.join(keeper, "family_id").where("doc_id <> keeper").select(F.col("document_id").alias("duplicate"), F.concat(F.lit("doc:"), "keeper").alias("redirect"))
 
 
-@query("b11_qualified", "SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND n >= 3 AND c_acctbal > 0")
-def b11(spark, sf_dir):
-    """Only what journal, report and manifest agree on."""
-    counted = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n >= 3")
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return orders.join(counted, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").join(rich, "o_custkey", "left_semi").select("o_orderkey")
-
-
 def integrity(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, change of every source that appeared, went, or differs in a field between two listings."""
     old, new = (df.select(key, F.struct(*fields).alias(name)) for df, name in ((before, "_old"), (after, "_new")))
@@ -141,6 +132,3 @@ def b12(spark, sf_dir):
     return integrity(docs.where("doc_id % 9 <> 0"), later, "doc_id", ["n_chars", "lang"])
 
 
-@query("b13_pending", "SELECT o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
-def b13(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P")).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))

@@ -179,22 +179,6 @@ def t14(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(kinds.alias("kinds"), (F.countDistinct(F.floor(F.col("value") / 1000)) > 1).alias("conflict"), F.count("*").alias("parts"))
 
 
-@query(
-    "t12_forecast_grounding",
-    """WITH cells AS (SELECT l_partkey, year(l_shipdate) AS period, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
-    claims AS (SELECT l_orderkey, l_linenumber, l_partkey, year(l_shipdate) + CAST(l_linenumber % 2 AS INTEGER) AS period, l_quantity AS value FROM lineitem WHERE l_linenumber <= 3)
-    SELECT l_orderkey, l_linenumber, CASE WHEN c.value IS NULL THEN 'no_column' WHEN abs(c.value - k.value) < 1e-9 THEN 'grounded' ELSE 'different_value' END AS status
-    FROM claims k LEFT JOIN cells c USING (l_partkey, period)""",
-)
-def t12(spark, sf_dir):
-    """Forecasts against the cells of their source's tables: same label, the forecast's own period, same number."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("period", F.year("l_shipdate"))
-    cells = lines.groupBy("l_partkey", "period").agg(F.sum("l_quantity").alias("cell"))
-    claims = lines.where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("period") + F.col("l_linenumber") % 2).cast("int").alias("period"), F.col("l_quantity").alias("value"))
-    status = F.when(F.col("cell").isNull(), "no_column").when(F.abs(F.col("cell") - F.col("value")) < 1e-9, "grounded").otherwise("different_value")
-    return claims.join(cells, ["l_partkey", "period"], "left").select("l_orderkey", "l_linenumber", status.alias("status"))
-
-
 @query("t27_missing_targets", "SELECT l_orderkey, l_suppkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)")
 def t27(spark, sf_dir):
     """Relations of a page whose target is not a page."""
