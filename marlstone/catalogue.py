@@ -25,6 +25,7 @@ _MODULES = (
     "functions.scalars",
     "functions.strings",
     "sources.connectors",
+    "sources.files",
     "plans.incremental",
     "plans.projection",
     "streaming.events",

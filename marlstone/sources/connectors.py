@@ -1,4 +1,4 @@
-"""Sources and sinks: Markdown with front matter, JSON manifests, JSON-lines journals, day-partitioned logs."""
+"""Sources and sinks: Markdown with front matter, JSON manifests, day-partitioned logs."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from ..views import table
 QUERIES, SQL, query = registry()
 
 
-def markdown(spark: SparkSession, root: str) -> DataFrame:
+def markdown(spark: SparkSession, root: str, names: str = "*.md") -> DataFrame:
     """path, length, modified, front_matter, body of every Markdown file under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     front = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
     body = F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "")
@@ -27,24 +27,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(docs["documents"]).alias("id", "r")).select("id", "r.*")
 
 
-def journal(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """Latest known value of every field per id in a JSON-lines journal; lines that do not parse are left out."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    rows = lines.select("n", F.from_json("value", f"id string, {fields}").alias("r")).where("r.id is not null").select("n", "r.*")
-    rest = [c for c in rows.columns if c not in ("n", "id")]
-    return rows.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c) for c in rest])
-
-
 def write_log(rows: DataFrame, path: str) -> None:
     """Append a request log, one folder per UTC day."""
     rows.withColumn("utc_date", F.to_date("ts")).write.mode("append").partitionBy("utc_date").json(path)
 
 
-@query("s6_manifest_counts", "SELECT count(*) AS documents, count(*) FILTER (WHERE event_type = 'purchase') AS indexed, CAST(sum(coalesce(TRY_CAST(value AS INTEGER), 0)) > 0 AS BOOLEAN) AS has_pages FROM events")
-def s6(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("documents"), F.count_if(F.col("event_type") == "purchase").alias("indexed"), (F.sum(F.coalesce(F.col("value").cast("int"), F.lit(0))) > 0).alias("has_pages"))
-
-
 @query("s18_discovery", "SELECT family_id, doc_id FROM (SELECT sha256(text) AS family_id, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY CASE source WHEN 'src1' THEN 0 ELSE 1 END, doc_id) AS n FROM documents) WHERE n = 1 AND family_id NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 20 = 0)")
 def s18(spark, sf_dir):
     """New files: one of each content by source priority, without contents already known."""
