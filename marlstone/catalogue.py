@@ -28,6 +28,7 @@ _MODULES = (
     "sources.files",
     "plans.incremental",
     "plans.projection",
+    "plans.service",
     "streaming.events",
 )
 

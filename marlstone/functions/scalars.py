@@ -45,10 +45,9 @@ def f13(spark, sf_dir):
     return tags.select("tag", F.regexp_extract("tag", "^([^:：]*)[:：]", 1).alias("grp"), F.regexp_extract("tag", "^[^:：]*[:：](.*)$", 1).alias("value"))
 
 
-@query("f15_excerpt", "SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '`') AND NOT contains(text, '['))")
+@query("f15_excerpt", "SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '(?m)^#+ .*$', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents)")
 def f15(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("`")) & ~F.contains("text", F.lit("[")))
-    return docs.select("doc_id", excerpt("text").alias("excerpt"))
+    return table(spark, sf_dir, "documents").select("doc_id", excerpt("text").alias("excerpt"))
 
 
 @query("f20_hashes", "SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents")

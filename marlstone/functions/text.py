@@ -65,7 +65,7 @@ def query_terms(q: str, most: int = 80) -> list[list[str]]:
 def excerpt(text: str, n: int = 200) -> Column:
     """Text without code, headings, images, links and tags, cut to n characters with an ellipsis."""
     t = F.col(text)
-    for pattern, by in ((r"(?s)```.*?```", " "), (r"(?m)^#+ .*$", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"\s+", " ")):
+    for pattern, by in ((r"(?s)```.*?```", " "), (r"(?dm)^#+ .*$", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"\s+", " ")):
         t = F.regexp_replace(t, pattern, by)
     t = F.trim(t)
     return F.when(F.char_length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)

@@ -48,8 +48,8 @@ def e3(spark, sf_dir):
     return resolve(mentions(spark, sf_dir), aliases(spark, sf_dir))
 
 
-@query("e8_pending_names", MENTION + "SELECT norm, count(DISTINCT document_id) AS documents, min(document_id) AS example FROM mention LEFT JOIN inv USING (norm) WHERE ids IS NULL OR len(ids) > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
-def e8(spark, sf_dir):
+@query("a14_pending_names", MENTION + "SELECT norm, count(DISTINCT document_id) AS documents, min(document_id) AS example FROM mention LEFT JOIN inv USING (norm) WHERE ids IS NULL OR len(ids) > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+def a14(spark, sf_dir):
     open_ = resolve(mentions(spark, sf_dir), aliases(spark, sf_dir)).where("status <> 'curated'")
     return open_.groupBy("norm").agg(F.countDistinct("document_id").alias("documents"), F.min("document_id").alias("example")).orderBy(F.desc("documents"), "norm").limit(200)
 
@@ -65,12 +65,21 @@ def e5(spark, sf_dir):
     return joined.select("document_id", F.when(F.col("action") != "revoked", F.col("action")).otherwise(F.col("status")).alias("status"))
 
 
-@query("e7_security_key", "SELECT p_partkey, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') || '.HK' AS key FROM part WHERE p_partkey % 2 = 0")
+@query(
+    "e7_security_key",
+    """SELECT p_partkey, CASE WHEN k IN (7, 8, 9) THEN NULL WHEN k = 3 THEN 'CN' WHEN k = 4 THEN 'SH' WHEN k = 5 THEN 'TW' WHEN k = 6 THEN 'US' WHEN k = 2 THEN 'US' ELSE 'HK' END AS market,
+      CASE k WHEN 0 THEN lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') WHEN 2 THEN 'A' || p_partkey WHEN 3 THEN lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0')
+        WHEN 4 THEN lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') WHEN 5 THEN lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') WHEN 6 THEN 'B' || p_partkey END AS code, CASE k WHEN 2 THEN 'Nasdaq' END AS exchange
+    FROM (SELECT p_partkey, p_partkey % 10 AS k FROM part)""",
+)
 def e7(spark, sf_dir):
-    """A code and market in either order, to five digits and a suffix."""
-    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("HK "), F.col("p_partkey") % 100000)).otherwise(F.concat(F.col("p_partkey") % 100000, F.lit(" HK")))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey", raw.alias("raw"))
-    return parts.select("p_partkey", F.concat(F.lpad(F.regexp_extract("raw", "[0-9]+", 0), 5, "0"), F.lit("."), F.regexp_extract("raw", "[A-Z]+", 0)).alias("key"))
+    """Codes with a market before or behind, of all markets and forms, and such as are none: wrong lengths, an unknown market."""
+    n, k = F.col("p_partkey"), F.col("p_partkey") % 10
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    six, four = F.lpad((n % 1_000_000).cast("string"), 6, "0"), F.lpad((n % 10_000).cast("string"), 4, "0")
+    raw = F.when(k == 0, say("hk:", (n % 100_000).cast("string"))).when(k == 1, say((n % 100_000).cast("string"), " HK")).when(k == 2, say("a", n, " OQ")).when(k == 3, say(six, ".CH")).when(k == 4, say(six, "-ss"))
+    raw = raw.when(k == 5, say(" ", four, "  TT ")).when(k == 6, say("US:b", n)).when(k == 7, say("SH:", four)).when(k == 8, say(six, " HK")).otherwise(say(six, " ZZ"))
+    return table(spark, sf_dir, "part").select("p_partkey", security_key(raw).alias("s")).select("p_partkey", "s.market", "s.code", "s.exchange")
 
 
 def security_key(raw: Column) -> Column:

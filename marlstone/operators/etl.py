@@ -65,22 +65,29 @@ def s10(spark, sf_dir):
 
 @query("t10_quote_grounding", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 8")
 def t10(spark, sf_dir):
-    """Documents that quote a passage: passages are looked up by their first words, then confirmed as substrings.
+    """Documents that quote a passage: passages are looked up by words within them, then confirmed as substrings.
 
-    A document and a passage meet on a run of four words, so no pair is compared that shares none.
+    The outermost words of a quote may be part of longer words in the document, so keys take inner words: four of a quote of six
+    words or more, one of a quote of three to five. Keys are hashes; a document's keys meet the quotes' keys before any shuffle
+    of texts. Quotes of one or two words have no inner word and are compared with every document.
     """
-    key = 4
-    quotes = table(spark, sf_dir, "benchmark").where(F.char_length("text") >= 8).withColumn("w", F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r]+"), 0))
-    # The outermost words of a quote may be part of longer words in the document: keys take inner words.
-    quotes = quotes.select("item_id", F.col("text").alias("quote"), F.concat_ws(" ", F.slice("w", 2, key)).alias("k"), F.size("w").alias("n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r]+"), 0).alias("w"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - key + 1))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice("w", i, key))))).alias("k"))
-    long_, short = quotes.where(F.col("n") >= key + 2), quotes.where(F.col("n") < key + 2)
-    near = grams.join(long_, "k").select("doc_id", "item_id", "quote").distinct()
-    found = docs.join(near, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
-    few = docs.join(short, F.contains("text", F.col("quote"))).select("doc_id", "item_id")  # quotes of under six words: a theta join
-    return found.union(few)
+    split = lambda c: F.regexp_extract_all(c, F.lit("[^ \\t\\n\\r]+"), 0)
+    quotes = table(spark, sf_dir, "benchmark").where(F.char_length("text") >= 8).withColumn("w", split("text"))
+    n = F.size("w")
+    width = F.when(n >= 6, 4).when(n >= 3, 1).otherwise(0)
+    quotes = quotes.select("item_id", F.col("text").alias("quote"), width.alias("width"), F.xxhash64(F.concat_ws(" ", F.slice("w", 2, F.greatest(width, F.lit(1))))).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split("text").alias("w"))
+
+    def keys(width: int):
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
+        return F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, width))))))
+
+    near = None
+    for size in (1, 4):
+        hit = docs.select("doc_id", keys(size).alias("k")).join(quotes.where(F.col("width") == size).select("k", "item_id", "quote"), "k").select("doc_id", "item_id", "quote")
+        near = hit if near is None else near.union(hit)
+    found = docs.join(near.distinct(), "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    return found.union(docs.join(quotes.where("width = 0"), F.contains("text", F.col("quote"))).select("doc_id", "item_id"))
 
 
 @query("t7_license_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^(Licensed under|All rights reserved)'))) AS removed FROM documents")
@@ -98,9 +105,9 @@ def b2(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(target.alias("target")).agg(F.countDistinct("family_id").alias("n")).where("n > 1")
 
 
-@query("b7_embedding_reuse", f"{DOCS} SELECT a.document_id, min(b.doc_id) AS reuse_from FROM docs a LEFT JOIN docs b ON a.family_id = b.family_id AND b.doc_id % 2 = 0 AND b.doc_id <> a.doc_id WHERE a.doc_id % 2 = 1 GROUP BY 1")
+@query("b7_embedding_reuse", f"{DOCS} SELECT a.document_id, CASE WHEN a.doc_id % 2 = 0 THEN a.doc_id ELSE min(b.doc_id) END AS reuse_from FROM docs a LEFT JOIN docs b ON a.family_id = b.family_id AND b.doc_id % 2 = 0 GROUP BY a.document_id, a.doc_id")
 def b7(spark, sf_dir):
-    """Texts that changed hands keep the vector of a byte-identical one; the others are stale (null)."""
-    docs = documents(spark, sf_dir)
-    had = docs.where("doc_id % 2 = 0").groupBy("family_id").agg(F.min("doc_id").alias("reuse_from"))
-    return docs.where("doc_id % 2 = 1").join(had, "family_id", "left").select("document_id", "reuse_from")
+    """Chunks that have a vector keep it; the others take that of a byte-identical one, or are stale (null)."""
+    docs = documents(spark, sf_dir).withColumn("has", F.col("doc_id") % 2 == 0)
+    had = docs.where("has").groupBy("family_id").agg(F.min("doc_id").alias("other"))
+    return docs.join(had, "family_id", "left").select("document_id", F.when(F.col("has"), F.col("doc_id")).otherwise(F.col("other")).alias("reuse_from"))

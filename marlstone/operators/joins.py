@@ -11,10 +11,11 @@ from ..views import DOCS, MEMBERS, documents, memberships, table
 QUERIES, SQL, query = registry()
 
 
-@query("j1_composite", "SELECT o_orderpriority, l_returnflag, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+@query("j1_composite", "SELECT a.l_returnflag, b.l_linestatus, count(*) AS n FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE l_quantity > 25) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2")
 def j1(spark, sf_dir):
-    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.groupBy("o_orderpriority", "l_returnflag").agg(F.count("*").alias("n"))
+    lines = table(spark, sf_dir, "lineitem")
+    large = lines.where("l_quantity > 25").select("l_orderkey", "l_linenumber", "l_linestatus")
+    return lines.select("l_orderkey", "l_linenumber", "l_returnflag").join(large, ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
 def latest_change(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

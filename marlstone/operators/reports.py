@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import registry
+from ..functions.strings import folded_key
 from ..views import DOCS, documents, table
+from .windows import first_per
 
 QUERIES, SQL, query = registry()
 
 # Rating labels of each stance, without spaces and hyphens.
 STANCES = {
-    "bullish": "buy strongbuy overweight outperform accumulate positive 买入 增持 跑赢大市 优于大市 推荐 强烈推荐",
-    "neutral": "hold neutral equalweight marketperform 中性 持有 与大市同步",
-    "bearish": "sell underweight underperform reduce negative 卖出 减持 跑输大市 弱于大市",
-    "not_rated": "notrated unrated nr 未评级 无评级",
+    "bullish": ("buy", "strongbuy", "overweight", "outperform", "accumulate", "positive", "买入", "增持", "跑赢大市", "优于大市", "推荐", "强烈推荐"),
+    "neutral": ("hold", "neutral", "equalweight", "marketperform", "中性", "持有", "与大市同步"),
+    "bearish": ("sell", "underweight", "underperform", "reduce", "negative", "卖出", "减持", "跑输大市", "弱于大市"),
+    "not_rated": ("notrated", "unrated", "nr", "未评级", "无评级"),
 }
 # Topics that a report's file name may carry.
-TOPICS = "Semis Tech-Hardware Internet Software Telecom-Media Macro Rates-Credit FX Energy Metals-Mining Chemicals-Industrials Financials Cross-Asset Other Unknown".split()
+TOPICS = ("Semis", "Tech-Hardware", "Internet", "Software", "Telecom-Media", "Macro", "Rates-Credit", "FX", "Energy", "Metals-Mining", "Chemicals-Industrials", "Financials", "Cross-Asset", "Other", "Unknown")
 
 
 def rating_stance(label: Column) -> Column:
     """Stance of a rating label; null for labels that are not known."""
     plain = F.regexp_replace(F.lower(label), r"[\s-]", "")
-    return reduce(lambda rest, s: F.when(plain.isin(STANCES[s].split()), s).otherwise(rest), STANCES, F.lit(None).cast("string"))
+    return reduce(lambda rest, s: F.when(plain.isin(*STANCES[s]), s).otherwise(rest), STANCES, F.lit(None).cast("string"))
 
 
 @query("t13_rating_stance", "SELECT label, CASE label WHEN 'Strong Buy' THEN 'bullish' WHEN 'Equal-Weight' THEN 'neutral' WHEN 'SELL' THEN 'bearish' WHEN 'Not Rated' THEN 'not_rated' END AS stance, count(*) AS n FROM (SELECT ['Strong Buy', 'Equal-Weight', 'SELL', 'Not Rated', 'Unclear'][doc_id % 5 + 1] AS label FROM documents) GROUP BY 1")
@@ -36,12 +40,19 @@ def t13(spark, sf_dir):
     return labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("stance", rating_stance(F.col("label")))
 
 
+def _unaccented(names: pd.Series) -> pd.Series:
+    """Letters without their accents, wide forms as plain ones."""
+    return names.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
+
+
 def analyst_id(name: Column) -> Column:
     """Slug of a person: first name and surname with its particles, degrees dropped; ``research`` if nothing is left."""
+    name = F.coalesce(name, F.lit(""))
+    name = F.when(name.rlike("^[\\x00-\\x7F]*$"), name).otherwise(F.pandas_udf(_unaccented, "string")(name))
     plain = F.split_part(name, F.lit(","), F.lit(1))
     plain = F.regexp_replace(plain, r"(?i)Ph\.\s*D\.?|\b(?:CFA|CPA|CAIA|Jr\.?|MD|AC)\b", "")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\.", ""), r"\s+", " "))
-    # Names between the first and the surname go, particles right before the surname stay.
+    # Degrees (above) and particles of names. Names between the first and the surname go, particles right before the surname stay.
     short = F.regexp_replace(plain, r"(?i)^(\S+) (?:\S+ )*?((?:(?:von|van|der|den|de|da|di|du|del|della|le|la|bin|al|el) )*\S+)$", "$1-$2")
     slug = F.lower(F.regexp_replace(F.regexp_replace(short, " ", "-"), "[^A-Za-z0-9-]", ""))
     return F.when(slug == "", "research").otherwise(slug)
@@ -56,8 +67,8 @@ def t22(spark, sf_dir):
 
 
 def dictionary_key(value: str | Column) -> Column:
-    """Comparison form of a name: lower case, without white space and punctuation."""
-    return F.regexp_replace(F.lower(value), r"[\s.,&'’()\-]+", "")
+    """Comparison form of a name: compatibility form, lower case, without white space and punctuation."""
+    return folded_key(F.col(value) if isinstance(value, str) else value)
 
 
 def dictionary_match(values: DataFrame, entries: DataFrame) -> DataFrame:
@@ -126,18 +137,21 @@ def t25(spark, sf_dir):
 def t26(spark, sf_dir):
     """Dictionary of authors from evidence: the commonest spelling, how many there are, and the first three proofs."""
     seen = table(spark, sf_dir, "part").select(F.col("p_brand").alias("author"), F.col("p_type").alias("name"), "p_partkey")
-    names = seen.groupBy("author", "name").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("p_partkey")), 1, 3).alias("first"))
-    best = names.groupBy("author").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"), F.count("*").alias("aliases"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, 3).alias("e"))
-    return best.select("author", "name", "aliases", F.array_join(F.transform("e", lambda x: x.cast("string")), ",").alias("evidence"))
+    names = seen.groupBy("author", "name").agg(F.count("*").alias("n"))
+    best = names.groupBy("author").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"), F.count("*").alias("aliases"))
+    # Three proofs of each author by rank, which keeps three rows of a partition before the shuffle.
+    proof = first_per(seen, ["author"], ["p_partkey"], 3).groupBy("author").agg(F.sort_array(F.collect_list("p_partkey")).alias("e"))
+    return best.join(proof, "author").select("author", "name", "aliases", F.array_join(F.transform("e", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
+# The parts of a file name by contract.
 def file_name_ok(name: Column, brokers: list[str]) -> Column:
     """Whether a file name keeps the contract: date, broker, analyst, topic, tickers, title and pages in seven parts."""
     part = lambda k: F.split_part(F.regexp_replace(name, r"\.pdf$", ""), F.lit("_"), F.lit(k))
     shape = name.rlike(r"^[\x20-\x7e]+\.pdf$") & (F.char_length(name) <= 240) & (F.size(F.split(name, "_")) == 7)
     day = part(1).rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(part(1), "yyyy-MM-dd").isNotNull()
     title = part(6).rlike("^[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*$") & (F.char_length(part(6)) <= 90)
-    who = part(2).isin(brokers) & part(3).rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & part(4).isin(TOPICS)
+    who = part(2).isin(brokers) & part(3).rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & part(4).isin(*TOPICS)
     return shape & day & who & part(5).rlike(r"^[A-Z0-9.]+(?:\+[A-Z0-9.]+){0,3}$") & title & part(7).rlike(r"^\d+p$")
 
 

@@ -15,6 +15,7 @@ from .windows import first_per
 QUERIES, SQL, query = registry()
 RRF = 60
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_T = "regexp_extract_all(lower(text), '\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*')"
 
 
 def has_phrase(terms: Column, phrase: list[str]) -> Column:
@@ -41,9 +42,13 @@ def search_terms(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, str]:
     return strict, "all"
 
 
-@query("x1_lexical_all", f"{DOCS} SELECT document_id FROM docs WHERE NOT deleted AND list_has_all({_W}, ['the', 'and', 'with'])")
+@query("x1_lexical_all", f"{DOCS} SELECT document_id FROM docs WHERE NOT deleted AND list_has_all({_T}, ['the', 'and', 'with'])")
 def x1(spark, sf_dir):
-    return recall(documents(spark, sf_dir).where(~F.col("deleted")), ["the", "and", "with"]).select("document_id")
+    """All terms, from the lexeme projection: no text is read."""
+    from .retrieval import index, recalled
+
+    live = documents(spark, sf_dir).where(~F.col("deleted")).select("document_id")
+    return recalled(spark, index(spark, sf_dir), [["the"], ["and"], ["with"]], "body", "all").join(live, "document_id", "left_semi")
 
 
 @query("x2_any_fallback", f"{DOCS} SELECT document_id, 'any' AS lexical_match FROM docs WHERE NOT deleted AND list_has_any({_W}, ['con', 'zzzzzz'])")
@@ -58,13 +63,16 @@ def x3(spark, sf_dir):
     return recall(documents(spark, sf_dir), ["of", "the"]).where(has_phrase(words("text"), ["of", "the"])).select("document_id")
 
 
-@query("x1_shortlist", f"{DOCS} SELECT document_id, score FROM (SELECT document_id, CASE WHEN list_has_all({_W}, ['the', 'for']) THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(title), 'src1') THEN 8 + 4 ELSE 0 END AS score FROM docs WHERE NOT deleted) WHERE score > 0 ORDER BY score DESC, document_id LIMIT 120")
+@query("x1_shortlist", f"{DOCS} SELECT document_id, score FROM (SELECT document_id, CASE WHEN list_has_all({_T}, ['the', 'for']) THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(title), 'src1') THEN 8 + 4 ELSE 0 END AS score FROM docs WHERE NOT deleted) WHERE score > 0 ORDER BY score DESC, document_id LIMIT 120")
 def x1_shortlist(spark, sf_dir):
     """Body recall weighs 0.1, a title that holds the query 12; scores add up; a bounded shortlist."""
+    from .retrieval import index, recalled
+
     docs = documents(spark, sf_dir).where(~F.col("deleted"))
-    body = recall(docs, ["the", "for"]).select("document_id", F.lit(0.1).alias("s"))
+    body = recalled(spark, index(spark, sf_dir), [["the"], ["for"]], "body", "all").select("document_id", F.lit(0.1).alias("s"))
     head = docs.where(F.contains(F.lower("title"), F.lit("src1"))).select("document_id", F.lit(12.0).alias("s"))
-    return body.unionByName(head).groupBy("document_id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "document_id").limit(120)
+    score = body.unionByName(head).groupBy("document_id").agg(F.sum("s").alias("score"))
+    return score.join(docs.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "document_id").limit(120)
 
 
 def cosine(v: Column, q: list[float]) -> Column:

@@ -51,11 +51,11 @@ def k1(spark, sf_dir):
     return upsert(*_sides(spark, sf_dir), "doc_id")
 
 
-@query("i4_queue", "SELECT doc_id FROM documents d WHERE doc_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+@query("i4_queue", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
 def i4(spark, sf_dir):
     """Documents whose enrichment is not finished."""
     done = table(spark, sf_dir, "labels").where("quality = 1")
-    return table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").join(done, "doc_id", "left_anti").select("doc_id")
+    return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select("doc_id")
 
 
 @query("k13_dedup_decision", "WITH d AS (SELECT doc_id, sha256(text) AS h, length(text) AS n FROM documents), f AS (SELECT h, n, min(doc_id) AS keep FROM d GROUP BY 1, 2) SELECT doc_id, CASE WHEN doc_id = keep THEN 'kept' ELSE 'linked' END AS decision FROM d JOIN f USING (h, n)")

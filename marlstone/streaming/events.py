@@ -24,14 +24,18 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def drained(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now; the result as a table in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame) -> DataFrame:
+    """Run a stream over what is there now, in append mode, and read what it wrote: windows that the watermark has closed."""
+    from ..operators.retrieval import scratch
 
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
 
-@query("st_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+
+@query("st_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
 def st_tumbling(spark, sf_dir):
+    """Closed windows; the last one stays in the state until later events come."""
     found = drained(tumbling(stream(spark, sf_dir)))
     return found.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
