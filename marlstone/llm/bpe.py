@@ -6,7 +6,8 @@ dealt out and encoded in parallel, wherever the cuts fall, and joined again pair
 is encoded anew and grown until it agrees with the left side and with the right side, ids and places both, at two
 pre-tokens in a row.
 
-Defined cases: null and empty texts have no tokens; a null doc_id stays null; repeated rows each get their row.
+Defined cases: null and empty texts have no tokens; a null doc_id stays null; repeated rows each get their row; very long texts
+are cut and joined; an empty table gives an empty result; columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
