@@ -214,17 +214,17 @@ def _rows(spark, found: list[dict], schema: str) -> DataFrame:
 P = f"WITH {PAGES} "
 
 
-@query("op_describe", f"{P} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pages_ WHERE NOT deleted) WHERE contains(tag, 'lang') GROUP BY 1 ORDER BY n DESC, tag LIMIT 20")
+@query("svc_describe", f"{P} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pages_ WHERE NOT deleted) WHERE contains(tag, 'lang') GROUP BY 1 ORDER BY n DESC, tag LIMIT 20")
 def describe(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("describe", section="tags", q="LANG")["results"], "tag string, n long")
 
 
-@query("op_resolve", f"{P} SELECT document_id, lower(title) = 'report 12' AS exact FROM pages_ WHERE NOT deleted AND contains(lower(title), 'report 12') ORDER BY exact DESC, title, document_id LIMIT 20")
+@query("svc_resolve", f"{P} SELECT document_id, lower(title) = 'report 12' AS exact FROM pages_ WHERE NOT deleted AND contains(lower(title), 'report 12') ORDER BY exact DESC, title, document_id LIMIT 20")
 def resolve(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("resolve", q="Report 12")["results"], "document_id string, exact boolean")
 
 
-@query("op_query_pages", f"{P} SELECT document_id FROM pages_ WHERE NOT deleted AND coalesce(lang = 'en', false) ORDER BY published_at DESC NULLS LAST, document_id LIMIT 30")
+@query("svc_query_pages", f"{P} SELECT document_id FROM pages_ WHERE NOT deleted AND coalesce(lang = 'en', false) ORDER BY published_at DESC NULLS LAST, document_id LIMIT 30")
 def query_pages(spark, sf_dir):
     """Three pages of ten by cursor."""
     service, args, out = Service(spark, sf_dir), {"filters": {"field": "lang", "op": "eq", "value": "en"}, "limit": 10}, []
@@ -237,41 +237,41 @@ def query_pages(spark, sf_dir):
     return _rows(spark, out, "document_id string")
 
 
-@query("op_query_groups", f"{P} SELECT value, count(*) AS n FROM (SELECT unnest(tags) AS value FROM pages_ WHERE NOT deleted) GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+@query("svc_query_groups", f"{P} SELECT value, count(*) AS n FROM (SELECT unnest(tags) AS value FROM pages_ WHERE NOT deleted) GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
 def query_groups(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("query", group_by="tags")["results"], "value string, n long")
 
 
-@query("op_search", f"{P} SELECT document_id FROM pages_ WHERE NOT deleted AND title = 'Report 13 from src13'")
+@query("svc_search", f"{P} SELECT document_id FROM pages_ WHERE NOT deleted AND title = 'Report 13 from src13'")
 def search(spark, sf_dir):
     """A title as the query: its document comes first."""
     found = Service(spark, sf_dir).execute("search", query="Report 13 from src13", mode="lexical", limit=1)
     return _rows(spark, found["results"], "document_id string")
 
 
-@query("op_read_blocks", f"{P} SELECT CAST(k AS INTEGER) AS ordinal, substr(text, CAST(1800 * k + 1 AS BIGINT), 1800) AS text FROM (SELECT text, unnest(range(CAST(ceil(length(text) / 1800.0) AS BIGINT))) AS k FROM pages_ WHERE document_id = 'doc:4') ORDER BY 1 LIMIT 20")
+@query("svc_read_blocks", f"{P} SELECT CAST(k AS INTEGER) AS ordinal, substr(text, CAST(1800 * k + 1 AS BIGINT), 1800) AS text FROM (SELECT text, unnest(range(CAST(ceil(length(text) / 1800.0) AS BIGINT))) AS k FROM pages_ WHERE document_id = 'doc:4') ORDER BY 1 LIMIT 20")
 def read_blocks(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("read", id="doc:4", view="blocks", max_response_tokens=32_000)["results"], "ordinal int, text string")
 
 
-@query("op_read_metadata", f"{P} SELECT document_id, revision_id, title FROM pages_ WHERE document_id = 'doc:4'")
+@query("svc_read_metadata", f"{P} SELECT document_id, revision_id, title FROM pages_ WHERE document_id = 'doc:4'")
 def read_metadata(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("read", id="doc:4", view="metadata")["results"], "document_id string, revision_id string, title string")
 
 
-@query("op_related", f"{P} SELECT a.document_id AS source, b.document_id AS target FROM pages_ a JOIN pages_ b ON b.slug = a.supported_by WHERE NOT a.deleted AND NOT b.deleted AND (a.document_id = 'doc:2' OR b.document_id = 'doc:2')")
+@query("svc_related", f"{P} SELECT a.document_id AS source, b.document_id AS target FROM pages_ a JOIN pages_ b ON b.slug = a.supported_by WHERE NOT a.deleted AND NOT b.deleted AND (a.document_id = 'doc:2' OR b.document_id = 'doc:2')")
 def related(spark, sf_dir):
     return _rows(spark, Service(spark, sf_dir).execute("related", id="doc:2")["results"], "source string, target string")
 
 
-@query("op_graph_intersection", MODEL + "SELECT document_id FROM pages_ WHERE NOT deleted AND list_contains(tags, 'src:src4') AND document_id IN (SELECT document_id FROM resolved_ WHERE entity_id = 'entity:security:5') ORDER BY document_id LIMIT 20")
+@query("svc_graph_intersection", MODEL + "SELECT document_id FROM pages_ WHERE NOT deleted AND list_contains(tags, 'src:src4') AND document_id IN (SELECT document_id FROM resolved_ WHERE entity_id = 'entity:security:5') ORDER BY document_id LIMIT 20")
 def graph_intersection(spark, sf_dir):
     tag = spark.range(1).select(F.concat(F.lit("tag:"), F.substring(F.sha2(F.lit("src:src4"), 256), 1, 24)).alias("t")).first()["t"]
     found = Service(spark, sf_dir).execute("graph", operation="intersection", seeds=[{"kind": "tag", "id": tag}, {"kind": "entity", "id": "entity:security:5"}])
     return _rows(spark, found["results"], "document_id string")
 
 
-@query("op_errors", "SELECT unnest(['operation', 'argument', 'sort', 'id', 'seed', 'limit', 'block', 'revision']) AS name, unnest(['UNKNOWN_OPERATION', 'INVALID_ARGUMENT', 'INVALID_ARGUMENT', 'NOT_FOUND', 'SEED_NOT_FOUND', 'INVALID_ARGUMENT', 'BLOCK_NOT_FOUND', 'REVISION_UNAVAILABLE']) AS code")
+@query("svc_errors", "SELECT unnest(['operation', 'argument', 'sort', 'id', 'seed', 'limit', 'block', 'revision']) AS name, unnest(['UNKNOWN_OPERATION', 'INVALID_ARGUMENT', 'INVALID_ARGUMENT', 'NOT_FOUND', 'SEED_NOT_FOUND', 'INVALID_ARGUMENT', 'BLOCK_NOT_FOUND', 'REVISION_UNAVAILABLE']) AS code")
 def errors(spark, sf_dir):
     """Codes of refused requests."""
     service, out = Service(spark, sf_dir), []
