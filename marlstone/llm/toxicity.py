@@ -213,8 +213,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(labels) == 1
     if not y.any() or y.all():
         return Model(base=float(y.mean()) if len(y) else 0.0)
-    spoken = [[{p for w in fold(x) for p in plain(w) if len(p) >= 3} for x in sentences(t or "")] for t in texts]
-    bags = [set().union(*x) for x in spoken]
+    one: dict[str, str] = {}  # each word is one object, however many documents have it
+    bags = [{one.setdefault(p, p) for w in fold(t or "") for p in plain(w) if len(p) >= 3} for t in texts]
     count = {True: {}, False: {}}
     for bag, label in zip(bags, y):
         own = count[bool(label)]
@@ -246,7 +246,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     at = {words[i]: k for k, i in enumerate(index.tolist())}
     gains = np.array([gain.get(words[i], 0.0) for i in index.tolist()])
     known: dict[tuple[int, ...], int] = {}  # sentences by the words in them that are near a landmark
-    near = [np.array(sorted({known.setdefault(tuple(sorted(at[w] for w in x if w in at)), len(known)) for x in doc if not at.keys().isdisjoint(x)}), np.int64) for doc in spoken]
+    near = []
+    for text, bag in zip(texts, bags):
+        own, spoken = at.keys() & bag, set()
+        for sentence in sentences((text or "").lower()) if own else ():
+            if here := {at[p] for w in fold(sentence) for p in plain(w) if p in own}:
+                spoken.add(known.setdefault(tuple(sorted(here)), len(known)))
+        near.append(np.array(sorted(spoken), np.int64))
     z = np.array([rows[list(k)].max(0) for k in known]).reshape(len(known), len(chosen)) @ whiten
     value = np.array([gains[list(k)].max() for k in known])
     clean = np.unique(np.concatenate([n for n, label in zip(near, y) if not label] or [np.zeros(0, np.int64)]).astype(np.int64))
