@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -52,15 +53,53 @@ def _html_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+def html_text_of(html: Column) -> Column:
+    return F.pandas_udf(_html_text, "string")(html)
+
+
 def html_text(html: str) -> Column:
-    return F.pandas_udf(_html_text, "string")(F.col(html))
+    return html_text_of(F.col(html))
+
+
+# What pages that ask for a login say.
+LOGIN = r"(?i)(?:sign in|log in|登录|注册).{0,40}(?:to continue|to view|查看)"
+
+_VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+  '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
-@query("s10_html_text")
+@query("s10_html_text", f"SELECT page_id, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT page_id, {_VISIBLE} AS t FROM pages) WHERE length(t) >= 120")
 def s10(spark, sf_dir):
     """Texts of pages; bodies under 120 characters are rejected."""
     text = table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
-    return text.where(F.char_length("text") >= 120).select("page_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("md5"))
+    return text.where(F.char_length("text") >= 120).select("page_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+def decoded(content: pd.Series, header: pd.Series) -> pd.Series:
+    """Bytes of a page by the charset of its header, else of its meta tag, else UTF-8; what does not fit is replaced."""
+
+    def one(raw: bytes, kind: str | None) -> str:
+        in_header, in_meta = re.search(r"charset=[\"']?([\w-]+)", kind or "", re.I), re.search(rb"<meta[^>]+charset=[\"']?([\w-]+)", raw[:4096], re.I)
+        name = in_header[1] if in_header else in_meta[1].decode() if in_meta else "utf-8"
+        try:
+            return raw.decode(name, "replace")
+        except LookupError:
+            return raw.decode("utf-8", "replace")
+
+    return pd.Series([one(bytes(c or b""), h) for c, h in zip(content, header)])
+
+
+@query("s10_html_rules", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'login' WHEN 1 THEN 'short' END AS rejected, CASE WHEN page_id % 4 > 1 THEN 'Café ' || trim(repeat('word ', 40)) || ' ' || page_id END AS text FROM pages")
+def s10_rules(spark, sf_dir):
+    """Charsets by header and by meta tag; login pages and short bodies are rejected."""
+    n, k = F.col("page_id"), F.col("page_id") % 4
+    body = F.concat(F.lit("<p>Café "), F.repeat(F.lit("word "), 40), n.cast("string"), F.lit("</p><script>no</script>"))
+    html = F.when(k == 0, F.concat(F.lit("<h1>Please log in</h1><p>to continue</p>"), F.repeat(F.lit("fill "), 40))).when(k == 1, F.lit("<p>short</p>")).when(k == 2, body).otherwise(F.concat(F.lit('<meta charset="iso-8859-1">'), body))
+    raw = F.when(k == 3, F.encode(html, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    text = html_text_of(F.pandas_udf(decoded, "string")(raw, F.when(k == 2, "text/html; charset=UTF-8")))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    rejected = F.when(F.col("text").rlike(LOGIN), "login").when(F.char_length("text") < 120, "short")
+    return rows.select("page_id", rejected.alias("rejected"), F.when(rejected.isNull(), F.col("text")).alias("text"))
 
 
 @query("t10_quote_grounding", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 8")
