@@ -37,11 +37,11 @@ def with_members(docs: DataFrame, members: DataFrame, op: str, ids: list[str]) -
     return docs.join(hit, "document_id", "left_anti" if op in ("contains_none", "missing") else "left_semi")
 
 
-_TWO = ["entity:company:4", "entity:security:5"]
+_TWO = ["entity:company:1", "entity:security:1"]
 for _op, _sql in {
-    "contains_any": "document_id IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:4', 'entity:security:5'))",
-    "contains_all": "document_id IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:4', 'entity:security:5') GROUP BY 1 HAVING count(*) = 2)",
-    "contains_none": "document_id NOT IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:4', 'entity:security:5'))",
+    "contains_any": "document_id IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:1', 'entity:security:1'))",
+    "contains_all": "document_id IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:1', 'entity:security:1') GROUP BY 1 HAVING count(*) = 2)",
+    "contains_none": "document_id NOT IN (SELECT document_id FROM members_ WHERE entity_id IN ('entity:company:1', 'entity:security:1'))",
     "exists": "document_id IN (SELECT document_id FROM members_)",
     "missing": "document_id NOT IN (SELECT document_id FROM members_)",
 }.items():

@@ -264,7 +264,7 @@ def security_master(columnar: DataFrame, listed: DataFrame) -> DataFrame:
     """market, code, name of two official lists: columnar (fields array, data array of arrays; the fields must be the known ones) and
     a script (value) with objects of quoted codes and names."""
     expected = F.array(*[F.lit(x) for x in ("cik", "name", "ticker", "exchange")])
-    checked = columnar.where(F.assert_true(F.col("fields") == expected, "the list's columns changed").isNull())
+    checked = columnar.where(F.when(F.col("fields") == expected, True).otherwise(F.raise_error(F.lit("the list's columns changed")).cast("boolean")))
     us = checked.select(F.explode("data").alias("d")).select(F.lit("US").alias("market"), F.col("d")[2].alias("code"), F.col("d")[1].alias("name"))
     pairs = listed.select(F.explode(F.regexp_extract_all("value", F.lit(r"\{code:'\d{6}',name:'[^']*'\}"), 0)).alias("o"))
     sh = pairs.select(F.lit("SH").alias("market"), F.regexp_extract("o", r"code:'(\d{6})'", 1).alias("code"), F.regexp_extract("o", r"name:'([^']*)'", 1).alias("name"))
@@ -318,10 +318,11 @@ def s19(spark, sf_dir):
 def folded_journal(lines: DataFrame, fields: list[str]) -> DataFrame:
     """Fields of each id after a journal (file, n, value: lines by number), a later value over an earlier, missing ones kept. A line that
     is no JSON may be the last of its file; anywhere else it is an error."""
-    parsed = lines.withColumn("ok", F.get_json_object("value", "$").isNotNull() & F.json_object_keys("value").isNotNull())
+    parsed = lines.withColumn("ok", F.try_parse_json("value").isNotNull())
     last = lines.groupBy("file").agg(F.max("n").alias("_last"))
-    checked = parsed.join(F.broadcast(last), "file").where(F.col("ok") | F.assert_true(F.col("n") == F.col("_last"), "a line of the journal is damaged").isNotNull())
-    rows = checked.select(F.get_json_object("value", "$.id").alias("id"), F.struct("file", "n").alias("at"), *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields]).where("id is not null")
+    # The error is a part of the id, so that no filter on the id comes before it.
+    id_ = F.when(F.col("ok"), F.get_json_object("value", "$.id")).when(F.col("n") == F.col("_last"), F.lit(None).cast("string")).otherwise(F.raise_error(F.lit("a line of the journal is damaged")).cast("string"))
+    rows = parsed.join(F.broadcast(last), "file").select(id_.alias("id"), F.struct("file", "n").alias("at"), *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields]).where("id is not null")
     return rows.groupBy("id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f in fields])
 
 

@@ -6,9 +6,9 @@ from marlstone.operators import maintenance, reports
 
 
 def test_analyst_ids(spark):
-    rows = [("Jane Q. Doe, CFA",), ("Ludwig M. van der Berg",), ("Plato",), ("",), ("CFA",), (None,)]
+    rows = [("Jane Q. Doe, CFA",), ("Ludwig M. van der Berg",), ("Plato",), ("",), ("CFA",), (None,), ("José  Pérez, Ph. D.",)]
     out = spark.createDataFrame(rows, "n string").select("n", reports.analyst_id(F.col("n")).alias("id")).collect()
-    assert [r.id for r in out] == ["jane-doe", "ludwig-van-der-berg", "plato", "research", "research", None]
+    assert [r.id for r in out] == ["jane-doe", "ludwig-van-der-berg", "plato", "research", "research", "research", "jose-perez"]
 
 
 def test_dictionary_scope_and_ambiguity(spark):
