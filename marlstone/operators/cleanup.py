@@ -4,7 +4,6 @@ categories by rule and vote, metadata in its schema."""
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

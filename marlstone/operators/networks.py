@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ENTITIES, MODEL, PAGES, entities, pages
+from ..model import MODEL, PAGES, entities, pages
 from ..registry import registry
 from ..views import table
-from .filters import InvalidArgument, apply_filter
+from .filters import InvalidArgument
 from .graph import traverse
-from .mentions import aliases, mentions, resolved
+from .mentions import mentions, resolved
 from .windows import first_per
 
 QUERIES, SQL, query = registry()

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..model import BLOCKS, MODEL, PAGES, blocks, entities, pages
 from ..registry import registry
 from ..views import table
-from .catalog import ordering
-from .filters import InvalidArgument, apply_filter, compile_filter, validate
+from .filters import InvalidArgument, apply_filter, validate
 from .mentions import mentions, resolved
 from .windows import first_per
 

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, terms
-from ..model import BLOCKS, ENTITIES, MODEL, PAGES, blocks, entities, pages
+from ..model import BLOCKS, MODEL, PAGES, blocks, entities, pages
 from ..registry import registry
 from ..views import table
 from .filters import apply_filter
@@ -34,6 +34,7 @@ B = f"WITH {PAGES}, {BLOCKS} "
 BUCKETS = 16
 _TERM = "'\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*'"
 _KEPT: dict[str, str] = {}
+_LOCK = threading.Lock()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -67,12 +68,14 @@ def postings(docs: DataFrame) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the projection of a corpus, written once a session: partitioned by bucket, sorted by term within files."""
     key = f"{spark.sparkContext.applicationId}|{sf_dir}"
-    if key not in _KEPT:
-        path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
-        rows = postings(pages(spark, sf_dir))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-        _KEPT[key] = path
-    return _KEPT[key]
+    with _LOCK:
+        if key not in _KEPT:
+            path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
+            # Dealt by term and a hash of the document, so that a term that a third of all documents have is several files.
+            rows = postings(pages(spark, sf_dir)).withColumn("_d", F.pmod(F.xxhash64("document_id"), F.lit(8)))
+            rows.repartition("bucket", "_d").drop("_d").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+            _KEPT[key] = path
+        return _KEPT[key]
 
 
 def lookup(spark: SparkSession, path: str, words: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import decimal
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -26,11 +27,23 @@ def plain(v):
     return v if isinstance(v, (bool, int, type(None))) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
-def test_same_as_sql(spark, duck, name):
+def rows_of(spark, name):
     df = catalogue.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)
-    ours = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
+    return columns, sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries, six at a time: most of a small query's time is spent waiting."""
+    pool = ThreadPoolExecutor(6)
+    yield {name: pool.submit(rows_of, spark, name) for name in sorted(catalogue.oracle_sql())}
+    pool.shutdown(cancel_futures=True)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_same_as_sql(results, duck, name):
+    columns, ours = results[name].result()
     result = duck.execute(catalogue.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
