@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, passages, phrases, resampling, sharding, toxicity, vectors, warc
+from . import bpe, minhash, mixing, packing, passages, phrases, resampling, sharding, toxicity, vectors, warc, whitening
 
 
 def tokenizer_file() -> str:
@@ -67,6 +67,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_resampling, op2_sharding, op3_embedding_dedup, op4_bpe, op5_minhash, op6_suffix_dedup, op7_phrases, op8_warc, op9_toxicity, op10_mixing, pipeline]
+    own = [op1_resampling, op2_sharding, op3_embedding_dedup, op4_bpe, op5_minhash, op6_suffix_dedup, op7_phrases, op8_warc, op9_toxicity, op10_mixing, op11_whitening, op13_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
