@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, packing, passages, phrases, resampling, sharding, toxicity, vectors, warc, whitening
+from . import bpe, minhash, mixing, packing, passages, phrases, resampling, sharding, spelling, toxicity, vectors, warc, whitening
 
 
 def tokenizer_file() -> str:
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_resampling, op2_sharding, op3_embedding_dedup, op4_bpe, op5_minhash, op6_suffix_dedup, op7_phrases, op8_warc, op9_toxicity, op10_mixing, op11_whitening, op13_packing, pipeline]
+    own = [op1_resampling, op2_sharding, op3_embedding_dedup, op4_bpe, op5_minhash, op6_suffix_dedup, op7_phrases, op8_warc, op9_toxicity, op10_mixing, op11_whitening, op12_spelling, op13_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
