@@ -6,7 +6,8 @@
 2. The histogram of lengths (at most as many numbers as a sequence has tokens, whatever the corpus) decides the plan: patterns of
    one to three lengths that fill a sequence exactly are enumerated, repeat counts x >= 0 are fitted to the histogram by
    least squares (columns join where the gradient asks for them; coordinate descent), rounded down and held to
-   what is there. What is left is packed by best fit, longest first, many equal pieces at once, into new sequences.
+   what is there. What is left is packed by best fit, longest first, many equal pieces at once, into new sequences. A few
+   shares of the counts are tried, as exact patterns may use up what longer pieces need beside them.
 3. A piece's rank among its length follows from counts by task and length; the plan says which sequence and offset that rank has.
    Rows are not sorted, and no task or group holds all pieces of a length.
 
@@ -22,11 +23,12 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _ODD, Encoder
+from .bpe import Encoder
 from .common import cut
 
 SIZE, END = 2048, 0
@@ -36,10 +38,12 @@ REMEMBER = 400_000
 ROUNDS, SWEEPS = 12, 12
 #: Fits at most, each to what rounding left of the one before.
 FITS = 4
+#: Shares of the fitted counts that are tried, in percent.
+SHARES = (100, 90, 75, 50)
 
 
 class Ids:
-    """Ids of whole texts, word by word, as in ``bpe``, without their decoded texts."""
+    """Ids of whole texts, word by word, as in ``bpe``: columns are split and their distinct words found by Arrow."""
 
     def __init__(self, path: str):
         self.tokenizer = Encoder.at(path).tokenizer
@@ -47,36 +51,56 @@ class Ids:
         self.old: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        at = np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in words)])).tolist()
-        packed, young = ids.tobytes(), self.young
-        for word, a, b in zip(words, at, at[1:]):
-            young[word] = packed[4 * a : 4 * b]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+        """Encode new words, a hundred to a text (its cost grows faster than its length), and tell their ids apart by their places."""
+        young = self.young
+        for k in range(0, len(words), 10_000):
+            parts = [words[i : i + 100] for i in range(k, min(k + 10_000, len(words)), 100)]
+            for part, found in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+                starts = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.offsets))
+                at = np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in part)])).tolist()
+                packed = np.array(found.ids, "<u4").tobytes()
+                for word, i, j in zip(part, at, at[1:]):
+                    young[word] = packed[4 * i : 4 * j]
+
+    def _known(self, words: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBER:
             self.young, self.old = {}, self.young
-        parts = [None if _ODD.search(t) else t.split() for t in texts]
-        young, old, new = self.young, self.old, set()
-        for words in parts:
-            if words:
-                new.update(words)
-        fresh = []
-        for word in new - young.keys():
-            if word in old:
-                young[word] = old[word]
-            else:
-                fresh.append(word)
-        if fresh:
-            self._learn(fresh)
-        known = young.__getitem__
-        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, parts)]
-        for word in fresh:
-            if len(word) > 200:
-                del young[word]
-        return out
+        young, old = self.young, self.old
+        young[""] = b""
+        found = [young.get(w) for w in words]
+        new = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                word = words[k]
+                if (ids := old.get(word)) is None:
+                    new.append(k)
+                else:
+                    found[k] = young[word] = ids
+        self._learn([words[k] for k in new])
+        for k in new:
+            found[k] = young[words[k]] if len(words[k]) <= 200 else young.pop(words[k])
+        return found
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and how many each text has. ASCII capitals are the same to this tokenizer as small letters;
+        texts with its special tokens, or with white space that is none for it, are encoded whole."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]|<[|]")
+        words = pc.utf8_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        flat = words.flatten().dictionary_encode()
+        found = self._known(flat.dictionary.to_pylist())
+        size = np.array([len(x) for x in found], np.int64) // 4
+        lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], pa.array(np.frombuffer(b"".join(found), "<u4")))
+        ids = lists.take(flat.indices).flatten().to_numpy()
+        bounds = words.offsets.to_numpy()
+        ends = np.r_[0, np.cumsum(size[flat.indices.to_numpy()])][bounds - bounds[0]]
+        count = np.diff(ends)
+        if pc.any(odd).as_py():
+            own = np.split(ids, ends[1:-1])
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                own[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, count = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        return ids, count
 
 
 def _pieces(path: str, size: int, end: int):
@@ -84,26 +108,27 @@ def _pieces(path: str, size: int, end: int):
 
     def run(batches):
         encoder, task, seen = Ids(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.slice(k, 200)
-                ids = [x + last for x in encoder.texts([t or "" for t in part.column(1).to_pylist()])]
-                total = np.array([len(x) // 4 for x in ids], np.int64)
-                pieces = -(-total // size)
-                doc = np.repeat(np.arange(len(ids)), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * size
-                length = np.minimum(size, total[doc] - start)
-                crc = np.array([zlib.crc32(ids[d][4 * a : 4 * (a + n)]) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist())], np.int64)
-                order = np.argsort(length, kind="stable")
-                by = length[order]
-                first = np.searchsorted(by, by)
-                place = np.empty(len(by), np.int64)
-                place[order] = np.arange(len(by)) - first + seen[by]
-                seen += np.bincount(length, minlength=size + 1)
-                columns = [part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task, np.int32)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+            if not len(batch):
+                continue
+            ids, count = encoder.texts(batch.column(1))
+            ids = np.insert(ids, np.cumsum(count), end).astype("<u4")  # each document ends with end
+            total = count + 1
+            base = np.cumsum(total) - total
+            pieces = -(-total // size)
+            doc = np.repeat(np.arange(len(total)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * size
+            length = np.minimum(size, total[doc] - start)
+            at, raw = 4 * (base[doc] + start), memoryview(ids.tobytes())
+            crc = np.array([zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist())], np.int64)
+            order = np.argsort(length, kind="stable")
+            by = length[order]
+            place = np.empty(len(by), np.int64)
+            place[order] = np.arange(len(by)) - np.searchsorted(by, by) + seen[by]
+            seen += np.bincount(length, minlength=size + 1)
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
     return run
 
@@ -156,12 +181,10 @@ def fit(histogram: np.ndarray, columns: np.ndarray) -> dict[int, float]:
     return x
 
 
-def plan(histogram: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences, [(length, pieces of it in each)]): how often each filling is used. histogram[n] pieces of length n."""
-    left = histogram.astype(object).copy()
-    out = [(int(left[size]), [(size, 1)])] if left[size] else []
-    left[size] = 0
-    for _ in range(FITS):  # rounding down leaves some, to which patterns are fitted anew
+def _patterned(left: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Fillings by fitted patterns, as many as left has; what they use goes from left. Each fit is to what rounding left of the one before."""
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+    for _ in range(FITS):
         columns = patterns(np.flatnonzero(left > 0), size)
         counts, before = fit(np.array(left, float), columns), len(out)
         for k in sorted(counts, key=lambda k: (-columns[k, 0], -columns[k, 1])):
@@ -174,7 +197,11 @@ def plan(histogram: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, in
                     left[v] -= times * m
         if len(out) == before:
             break
-    # The rest by best fit: groups of sequences filled alike, by the space they have left.
+    return out
+
+
+def _best_fit(left: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Longest first, each into the sequence with least room that holds it: groups of sequences filled alike, by the room they have left."""
     room: dict[int, list[tuple[tuple, int]]] = {}
     spaces: list[int] = []
 
@@ -202,7 +229,29 @@ def plan(histogram: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, in
                 put(space - count * length, (*filling, (length, count)), 1)
                 count, times = 0, times - 1
             put(space, filling, times)
-    return out + [(times, list(filling)) for groups in room.values() for filling, times in groups]
+    return [(times, list(filling)) for groups in room.values() for filling, times in groups]
+
+
+def plan(histogram: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(sequences, [(length, pieces of it in each)]): how often each filling is used. histogram[n] pieces of length n.
+
+    Patterns take short pieces that the rest may need beside long ones: of a few shares of the fitted counts, that with the fewest
+    sequences in all is used."""
+    left = histogram.astype(object).copy()
+    whole = [(int(left[size]), [(size, 1)])] if left[size] else []
+    left[size] = 0
+    fitted, best = _patterned(left.copy(), size), None
+    for share in SHARES:
+        used = [(times * share // 100, parts) for times, parts in fitted]
+        used = [x for x in used if x[0]]
+        rest = left.copy()
+        for times, parts in used:
+            for v, m in parts:
+                rest[v] -= times * m
+        made = used + _best_fit(rest, size)
+        if best is None or sum(t for t, _ in made) < sum(t for t, _ in best):
+            best = made
+    return whole + best
 
 
 def _slots(plan_: list[tuple[int, list[tuple[int, int]]]], size: int) -> dict[str, np.ndarray]:
@@ -248,6 +297,6 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row for each length at most
         histogram[r["length"]] = r["n"]
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
-    ranked = pieces.join(counts.select("task", "length", before.alias("before")), ["task", "length"])
+    ranked = pieces.join(counts.select("task", "length", before.alias("before")).hint("merge"), ["task", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(_placed(_slots(plan(histogram, size), size)), f"{kind}, sequence_id long, offset long")
