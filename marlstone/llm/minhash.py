@@ -3,16 +3,16 @@ the hash evaluations give a signature of the usual length; bands of the signatur
 
 1. Every text becomes a set of word shingles (64-bit hashes); texts of equal sets are one class from there on.
 2. The signature is cut into bands. Classes that share a band key are compared in a star around the key's most common
-   class (the one whose keys have the most members: the text that the others were copied from, if it is there). Two
-   sketches drop pairs below the threshold: a bit per signature value, and the parities of the shingles by hash value,
-   whose differing bits are never more than the shingles that only one of the two has.
+   class (the one whose keys have the most members: the text that the others were copied from, if it is there). A sketch
+   drops pairs that cannot link: the parities of the shingles by hash value, whose differing bits are never more than the
+   shingles that only one of the two has.
 3. Shared shingles are counted over the full sets of both documents; components follow from the links.
 4. A star leaves out pairs of two leaves. Where the leaves of a key still lie in different components, each leaf
    outside the key's main component is compared with the plausible members of other components, a pair in the first
    key it shares: so no link between components is lost, and no group is expanded into all its pairs.
 
 Bands take the values of 64 permutations, 32 bands of 4 values: a pair of similarity 0.8 is missed with probability 5e-8.
-The first sketch has a bit for each value of all 256; the parities, exact at any size, tell most up to some 500 shingles.
+The parities' bound is exact at any size, and tells most up to some 500 shingles.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words (null, empty, white space) a
 document has no shingles and no links; rows of one doc_id are one document for the components, and each row tells the size
@@ -33,10 +33,8 @@ from pyspark.sql import functions as F
 from .common import U, as_long, buffers, chunks, cut, mix, numbered, words_of
 from .components import components
 
-#: Permutations (two values each); those whose values are banded; bands.
-PERMUTATIONS, BANDED, BANDS = 256, 64, 32
-_WORDS = 2 * PERMUTATIONS // 64
-_SKETCH = [f"s{k}" for k in range(_WORDS)]
+#: Permutations (two values each), and bands.
+PERMUTATIONS, BANDS = 64, 32
 #: Bits of the parity sketch.
 PARITIES = 512
 _PARITY = [f"p{k}" for k in range(PARITIES // 64)]
@@ -94,7 +92,7 @@ def parities(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signed(width: int):
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH, *_PARITY]
+    names = ["doc_id", "n_shingles", "d1", "d2", "bands", *_PARITY]
 
     def run(batches):
         for batch in batches:
@@ -104,24 +102,21 @@ def _signed(width: int):
                 n = j - i
                 count = np.bincount(own, minlength=n).astype(np.int64)
                 d1, d2 = np.zeros(n, U), np.zeros(n, U)
-                bands, sketch, parity = np.zeros((n, BANDS), U), np.zeros((n, _WORDS), U), parities(h, own, n)
+                bands, parity = np.zeros((n, BANDS), U), parities(h, own, n)
                 full = np.flatnonzero(count)
                 if len(full):
                     starts = np.searchsorted(own, full)
                     d1[full] = np.add.reduceat(mix(h), starts)
                     d2[full] = np.add.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), starts)
-                    values = mix(np.ascontiguousarray(signatures(h, starts)))
-                    rows = values[:, : 2 * BANDED].reshape(len(full), BANDS, -1)
+                    rows = mix(np.ascontiguousarray(signatures(h, starts))).reshape(len(full), BANDS, -1)
                     key = np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)
                     for k in range(rows.shape[2]):
                         key = mix(key + rows[:, :, k])
                     bands[full] = key
-                    bits = (values & U(1)).astype(np.uint8)
-                    sketch[full] = np.ascontiguousarray(np.packbits(bits, axis=1)).view(U)
                 flat = pa.array(as_long(bands).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat)
                 columns = [pa.array(as_long(x)) for x in (count, d1, d2)]
-                bits = [pa.array(as_long(x[:, k])) for x in (sketch, parity) for k in range(x.shape[1])]
+                bits = [pa.array(as_long(parity[:, k])) for k in range(parity.shape[1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), *columns, lists, *bits], names)
 
     return run
@@ -153,12 +148,6 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int64())], ["a", "b", "both"])
 
 
-def _possible(percent: int):
-    """Most sketch bits that may differ: the expected share and six deviations."""
-    p, n = (100 - percent) / 200, 2 * PERMUTATIONS
-    return int(np.ceil(n * p + 6 * np.sqrt(n * p * (1 - p))))
-
-
 def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row (doc_id, text) of docs.
 
@@ -182,12 +171,12 @@ def near(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
 def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None = None) -> DataFrame:
     """near for unique (or null) doc_ids; same holds further links of doc_ids."""
-    longs = ", ".join(f"{c} long" for c in [*_SKETCH, *_PARITY])
+    longs = ", ".join(f"{c} long" for c in _PARITY)
     signed = cut(docs.mapInArrow(_signed(width), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signed")
-    one = F.min(F.struct("doc_id", "bands", *_SKETCH, *_PARITY)).alias("one")
+    one = F.min(F.struct("doc_id", "bands", *_PARITY)).alias("one")
     grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(one)
-    classes = cut(grouped.select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.bands", *[f"one.{c}" for c in [*_SKETCH, *_PARITY]]), "classes")
-    sketch = classes.select("node", "n_shingles", *_SKETCH, *_PARITY)
+    classes = cut(grouped.select("n_shingles", "d1", "d2", F.col("one.doc_id").alias("node"), "one.bands", *[f"one.{c}" for c in _PARITY]), "classes")
+    sketch = classes.select("node", "n_shingles", *_PARITY)
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(common, "key"), "members")
@@ -196,14 +185,14 @@ def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None =
     centres = famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("centre"))
     groups = cut(members.select("key", "band", "node").join(centres, "key"), "groups")
 
-    def apart(p: str, q: str, bits: list[str]) -> Column:
-        return reduce(add, [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in bits])
+    def apart(p: str, q: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in _PARITY])
 
     def plausible(p: str, q: str) -> Column:
         sizes = 100 * F.least(f"{p}.n_shingles", f"{q}.n_shingles") >= percent * F.greatest(f"{p}.n_shingles", f"{q}.n_shingles")
         # At the threshold the shingles of one text alone are (100 - percent) / (100 + percent) of both texts' together.
-        alone = (100 + percent) * apart(p, q, _PARITY) <= (100 - percent) * (F.col(f"{p}.n_shingles") + F.col(f"{q}.n_shingles"))
-        return sizes & alone & (apart(p, q, _SKETCH) <= _possible(percent))
+        alone = (100 + percent) * apart(p, q) <= (100 - percent) * (F.col(f"{p}.n_shingles") + F.col(f"{q}.n_shingles"))
+        return sizes & alone
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link."""
@@ -240,7 +229,7 @@ def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None =
     final = cut(components(links.union(more)), "components")
     named = classes.join(final, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))  # a row without doc_id has none, whatever the others have
     if same is not None:  # links between rows also join the components of what they belong to
         of = cut(joined.select("doc_id", component.alias("c")), "of")
         a, b = same.columns
