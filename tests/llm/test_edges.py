@@ -53,10 +53,29 @@ def test_minhash(docs, rows, width):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near(docs, width).collect()) == want
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_minhash_row_without_id(spark, repeated):
+    """A row without a doc_id has no component, whether or not another doc_id stands twice."""
+    text = " ".join(f"w{k}" for k in range(30))
+    table = [(1, text), (None, text), (2, "other words here")] + [(2, "other words there")] * repeated
+    got = minhash.near(spark.createDataFrame(table, "doc_id long, text string"), 5)
+    assert {(r["component_id"], r["kept"]) for r in got.where("doc_id is null").collect()} == {(None, True)}
+    assert got.where("doc_id = 1").first()["component_id"] == 1
+
+
+def test_passages_of_one_id(spark):
+    """Rows of one doc_id lose nothing to each other, and the next document loses what either has."""
+    a, b = "first passage " * 8, "second passage, quite another " * 4
+    table = [(5, a + "x"), (5, a + "y"), (5, b), (6, a), (6, b), (None, b), (None, b)]
+    got = passages.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got) == sorted([(5, len(a) + 1, 0), (5, len(a) + 1, 0), (5, len(b), len(b)), (6, len(a), len(a)), (6, len(b), len(b)), (0, len(b), 0), (0, len(b), len(b))])
+
+
 def test_passages(docs, rows):
-    """Rows are documents of their own in order of doc_id (null first), then text."""
+    """Rows of one doc_id are one document; rows without one are documents of their own before all others, in order of text."""
     seen, want = {}, Counter()
     for k, (i, text, _) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
+        k = k if i is None else 1000 + i
         b = (text or "").encode()
         gone = np.zeros(len(b), bool)
         for at in range(len(b) - 49):
