@@ -57,10 +57,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that a document with a smaller doc_id has. A character that lost some of
-    its bytes goes as a whole. Untouched texts (null too) stay as they are; n_chars follows the text. If any doc_id is null
-    or repeated, rows count as documents of their own in order of doc_id (null first), then text and the other columns."""
-    rows, _ = _keyed(docs, F.col("_doc.doc_id").asc_nulls_first())
-    found = passages.remove_repeats(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), text=True)
+    its bytes goes as a whole. Untouched texts (null too) stay as they are; n_chars follows the text. Rows of one doc_id lose
+    nothing to each other; rows without one are documents of their own before all others, in order of text and the other columns."""
+    rows, mended = _keyed(docs, F.col("_doc.doc_id").asc_nulls_first())
+    shift = 0
+    if mended:
+        rest = [F.col("_doc").getField(c) for c in docs.columns if c != "doc_id"]
+        again, shift = passages.rows_of_documents(rows.select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "_doc"), rest)
+        rows = cut(again.select("_doc", F.col("id").alias("_row")), "rows")
+    found = passages.remove_repeats(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), text=True, shift=shift)
     left = found.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
     joined = rows.join(left, F.col("_row") == F.col("_id"), "left")
     changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
