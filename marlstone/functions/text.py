@@ -24,11 +24,21 @@ def _nfkc(text: pd.Series) -> pd.Series:
 _COMPOSED = "[\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0391-\\u03A9\\u03B1-\\u03C9\\u0400-\\u045F\\u2010\\u2012-\\u2016\\u2018-\\u201E\\u2020-\\u2022\\u20AC\\u4E00-\\u9FFF\\u3001-\\u3011]"
 
 
+def is_plain(text: Column) -> Column:
+    """Whether a text is in compatibility form already (true of most texts), so that folding it needs no Python."""
+    return text.rlike(f"^{_COMPOSED}*$")
+
+
+def _folded(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def normalize(text: str | Column) -> Column:
-    """Compatibility form, trimmed, white space collapsed, lower case; texts that are in that form never leave the JVM."""
+    """Compatibility form, trimmed, white space collapsed, lower case. Texts in that form go to Python as nulls; where there are many,
+    split the rows by is_plain first (see segments.tokens), so that these do not pass it at all."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return F.when(text.rlike(f"^{_COMPOSED}*$"), plain).otherwise(F.pandas_udf(_nfkc, "string")(text))
+    plain = is_plain(text)
+    return F.when(plain, _folded(text)).otherwise(F.pandas_udf(_nfkc, "string")(F.when(~plain, text)))
 
 
 #: Words: a Han character; a number with points or commas inside; a run of letters, marks, digits and _ with apostrophes inside.
@@ -41,6 +51,11 @@ def terms(text: str | Column) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit(TERM), 0)
 
 
+def plain_terms(text: Column) -> Column:
+    """terms of a text for which is_plain holds, without Python."""
+    return F.regexp_extract_all(_folded(text), F.lit(TERM), 0)
+
+
 def query_terms(q: str, most: int = 80) -> list[list[str]]:
     """Units of a query: a word, or the neighbouring Han characters of a phrase; each once, in order."""
     import regex
@@ -129,3 +144,20 @@ def _split(body: pd.Series) -> pd.Series:
 def split_blocks(body: Column) -> Column:
     """Blocks of a text column."""
     return F.pandas_udf(_split, BLOCK)(body)
+
+
+def is_unmarked(body: Column) -> Column:
+    """Whether a text has no page marker, heading, blank line or character beyond the basic plane: its blocks are slices."""
+    return ~body.rlike(r"\n\n|(?m)^#{1,6} |[\x{10000}-\x{10FFFF}]")
+
+
+def slices(body: Column, most: int = 1800) -> Column:
+    """Blocks of a text for which is_unmarked holds, without Python."""
+    n = F.char_length(body)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
+
+    def block(at: Column) -> Column:
+        end = F.least(at + most, n)
+        return F.struct(at.alias("start_offset"), end.alias("end_offset"), F.lit(None).cast("int").alias("pdf_page"), F.array().cast("array<string>").alias("section"), F.substring(body, at + 1, F.lit(most)).alias("text"))
+
+    return F.transform(starts, block).cast(BLOCK)

@@ -1,9 +1,9 @@
-"""Search over a lexeme projection: recall in bodies and headers, a filtered shortlist, ranked passages, vectors within the
+"""Search over the lexical projection: recall in bodies and headers, a filtered shortlist, ranked passages, vectors within the
 shortlist, fusion, diversification, entity-aware search, explanations.
 
-The projection (``postings``) is built once per corpus and kept as a table, bucketed by a hash of the term, so that a query reads its
-terms' buckets and no text. Passages of the bounded shortlist are ranked by cover density: the shorter the spans that hold all
-terms, the better (positions of terms within the block; numbers are not those of another engine, order and constants are).
+The projection (``segments``) is kept as tables and brought up to date by revision, so that a query reads its terms' postings and
+no text; blocks are read for a bounded shortlist only. Passages are ranked by cover density: the shorter the spans that hold all
+words, the better (numbers are not those of another engine, order and constants are).
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ import os
 import tempfile
 import threading
 import uuid
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, terms
@@ -25,15 +23,15 @@ from ..views import table
 from .filters import apply_filter
 from .mentions import mentions, resolved
 from .search import cosine
+from .segments import HEADER, Projection, covered, recalled
 from .windows import first_per
 
 QUERIES, SQL, query = registry()
 P = f"WITH {PAGES} "
 B = f"WITH {PAGES}, {BLOCKS} "
-#: Buckets of the projection, by hash of the term.
-BUCKETS = 16
 _TERM = "'\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*'"
-_KEPT: dict[str, str] = {}
+#: Of each session and corpus: its projection, and what its files looked like when it was last brought up to date.
+_KEPT: dict[str, tuple[Projection, int]] = {}
 _LOCK = threading.Lock()
 
 
@@ -53,114 +51,90 @@ def projection(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "revision_id", F.array_sort(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("lexemes"))
 
 
-def header(docs: DataFrame) -> Column:
-    """What a document's header is searched by: title, tags, tickers, companies."""
-    return F.concat_ws(" ", "title", F.array_join("tags", " "), F.array_join("tickers", " "), F.array_join("companies", " "))
+def _files(spark: SparkSession, path: str) -> int:
+    """A checksum of the names, sizes and times of a table's files; nothing of them is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0] or 0
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, document_id, field (body or header): each word of each document once, in buckets of terms."""
-    body = docs.select("document_id", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term"), F.lit("body").alias("field"))
-    head = docs.select("document_id", F.explode(F.array_distinct(terms(header(docs)))).alias("term"), F.lit("header").alias("field"))
-    return body.unionByName(head).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-
-
-def index(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the projection of a corpus, written once a session: partitioned by bucket, sorted by term within files."""
-    key = f"{spark.sparkContext.applicationId}|{sf_dir}"
+def index(spark: SparkSession, sf_dir: str) -> Projection:
+    """The projection of a corpus: built once a session, and refreshed by revision when the files of the documents have changed."""
+    key, files = f"{spark.sparkContext.applicationId}|{sf_dir}", _files(spark, f"{sf_dir}/documents.parquet")
     with _LOCK:
         if key not in _KEPT:
-            path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
-            # Dealt by term and a hash of the document, so that a term that a third of all documents have is several files.
-            rows = postings(pages(spark, sf_dir)).withColumn("_d", F.pmod(F.xxhash64("document_id"), F.lit(8)))
-            rows.repartition("bucket", "_d").drop("_d").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-            _KEPT[key] = path
-        return _KEPT[key]
-
-
-def lookup(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """Postings of the given words: only their buckets are read, and of these the row groups that may hold them."""
-    asked = spark.createDataFrame([(w,) for w in words], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    wanted = sorted({r["bucket"] for r in asked.collect()})
-    return spark.read.parquet(path).where(F.col("bucket").isin(wanted) & F.col("term").isin(words))
-
-
-def recalled(spark: SparkSession, path: str, units: list[list[str]], field: str, match: str) -> DataFrame:
-    """Documents in which all (or any) of the units stand; of a phrase, all of its words do."""
-    words = sorted({w for u in units for w in u})
-    hits = lookup(spark, path, words).where(F.col("field") == field).groupBy("document_id").agg(F.collect_set("term").alias("t"))  # as many as the query has words
-    tests = [F.size(F.array_except(F.array(*[F.lit(w) for w in u]), "t")) == 0 for u in units]
-    return hits.where(reduce((lambda a, b: a & b) if match == "all" else or_, tests)).select("document_id")
+            _KEPT[key] = (Projection.create(spark, f"{scratch(spark)}/lexical-{uuid.uuid4().hex}"), 0)
+        kept, seen = _KEPT[key]
+        if seen != files:
+            kept.refresh(pages(spark, sf_dir))
+            _KEPT[key] = (kept, files)
+        return kept
 
 
-def _cover(words: list[str]):
-    """Cover density of a block: for each shortest span that holds words of the query up to all of those in the block, 1 over its length."""
-
-    def one(found) -> float:
-        at = [(i, w) for i, w in enumerate(found) if w in asked]
-        if not at:
-            return 0.0
-        need = {w for _, w in at}
-        score, last, begin = 0.0, {}, -1
-        for i, w in at:
-            last[w] = i
-            if len(last) == len(need):
-                start = min(last.values())
-                if start > begin:
-                    score += 1.0 / (i - start + 1) * len(need) / len(asked)
-                    begin = start
-        return score
-
-    asked = set(words)
-    return F.pandas_udf(lambda s: s.map(lambda t: one(list(t))), "double")
-
-
-def phrase_in(found: Column, phrase: list[str]) -> Column:
-    """Whether the words of a phrase follow each other."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of documents' first blocks: document_id, ordinal, vec_id, embedding."""
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc:"), "vec_id").alias("document_id"), F.lit(0).alias("ordinal"), "vec_id", "embedding")
 
 
 class Lexical:
-    """One lexical search: shortlist (document_id, score, matched_documents), passages, and how it matched."""
+    """One lexical search: shortlist (document_id, score), passages, and how it matched. Without a limit all matches are the shortlist."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int = 120, match: str = "all"):
-        self.spark, self.q, self.units = spark, q, query_terms(q)
+    def __init__(self, spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120, match: str = "all"):
+        self.spark, self.sf_dir, self.q, self.units, self.limit = spark, sf_dir, q, query_terms(q), limit
         self.words = sorted({w for u in self.units for w in u})
-        path, docs = index(spark, sf_dir), pages(spark, sf_dir).where(~F.col("deleted"))
-        self.docs, self.blocks = docs, blocks(spark, sf_dir)
-        phrases = [u for u in self.units if len(u) > 1]
-        body = recalled(spark, path, self.units, "body", match)
-        if phrases:  # the projection has no positions: phrases are verified in blocks of the recalled documents
-            held = self.blocks.join(body, "document_id", "left_semi").select("document_id", terms(F.col("text")).alias("t"))
-            per = held.groupBy("document_id").agg(*[F.max(phrase_in(F.col("t"), p)).alias(f"p{i}") for i, p in enumerate(phrases)])
-            good = [F.col(f"p{i}") for i in range(len(phrases))]
-            single = [u for u in self.units if len(u) == 1]
-            test = reduce((lambda a, b: a & b) if match == "all" else or_, good)
-            body = per.where(test).select("document_id") if match == "all" or not single else per.where(test).select("document_id").union(recalled(spark, path, single, "body", "any")).distinct()
-        title = F.contains(F.lower("title"), F.lit(q.lower()))
-        heads = recalled(spark, path, self.units, "header", match).union(docs.where(title).select("document_id")).distinct()
-        self.header = heads.join(docs.select("document_id", title.alias("whole"), terms(header(docs)).alias("t")), "document_id").select("document_id", (4 + _cover(self.words)("t") + F.when(F.col("whole"), 8).otherwise(0)).alias("score"))
+        self.index, docs = index(spark, sf_dir), pages(spark, sf_dir).where(~F.col("deleted"))
+        self.docs, self.found = docs, self.index.lookup(self.words)
+        heads = self.found.where(F.col("ordinal") == HEADER)
+        body = recalled(self.found.where(F.col("ordinal") >= 0), self.units, match)
+        title = docs.select("document_id", F.contains(F.lower("title"), F.lit(q.lower())).alias("whole"))
+        in_header = recalled(heads, self.units, match).select("document_id", F.lit(True).alias("_h"))
+        near = covered(heads, self.words).select("document_id", "density")
+        held = title.join(in_header, "document_id", "left").where(F.col("whole") | F.col("_h").isNotNull()).join(near, "document_id", "left")
+        self.header = held.select("document_id", (4 + F.coalesce("density", F.lit(0.0)) + F.when(F.col("whole"), 8).otherwise(0)).alias("score"))
         hits = body.select("document_id", F.lit(0.1).alias("score")).unionByName(self.header)
         score = hits.groupBy("document_id").agg(F.sum("score").alias("score"))
-        found = score.join(apply_filter(docs, filters).select("document_id"), "document_id", "left_semi")
-        self.matched = found
-        self.shortlist = found.orderBy(F.desc("score"), "document_id").limit(limit)
+        self.matched = score.join(apply_filter(docs, filters).select("document_id"), "document_id", "left_semi")
+        self.total, self._top = None, None
+
+    @property
+    def shortlist(self) -> DataFrame:
+        ranked = self.matched.orderBy(F.desc("score"), "document_id")
+        return ranked if self.limit is None else ranked.limit(self.limit)
+
+    def top(self) -> list[tuple[str, float]]:
+        """The shortlist's rows, limit at most, and beside them how many documents were matched before the limit: one job."""
+        if self._top is None:
+            seen = Observation()
+            counted = self.matched.observe(seen, F.count("*").alias("n"))
+            self._top = [tuple(r) for r in counted.orderBy(F.desc("score"), "document_id").limit(self.limit or 300).collect()]
+            self.total = seen.get["n"]
+        return self._top
+
+    def blocks(self) -> DataFrame:
+        """Blocks of the shortlist, from the store: row groups without its documents are not read."""
+        return self.index.blocks([i for i, _ in self.top()])
 
     def passages(self, most: int = 3) -> DataFrame:
         """document_id, ordinal, score, channel: the best blocks of each shortlisted document, and its header as a candidate."""
-        near = self.blocks.join(F.broadcast(self.shortlist.select("document_id")), "document_id", "left_semi").withColumn("t", terms(F.col("text")))
-        near = near.where(F.arrays_overlap("t", F.array(*[F.lit(w) for w in self.words])))
-        whole = F.when(F.contains(F.lower("text"), F.lit(self.q.lower())), 1).otherwise(0)
-        lexical = near.select("document_id", "ordinal", (_cover(self.words)("t") + whole).alias("score"), F.lit("lexical").alias("channel"))
-        head = self.header.join(self.shortlist.select("document_id"), "document_id", "left_semi").select("document_id", F.lit(0).alias("ordinal"), "score", F.lit("metadata").alias("channel"))
+        ids = self.spark.createDataFrame([(i,) for i, _ in self.top()], "document_id string")
+        near = covered(self.found.where(F.col("ordinal") >= 0).join(F.broadcast(ids), "document_id", "left_semi"), self.words)
+        whole = self.blocks().select("document_id", "ordinal", F.contains(F.lower("text"), F.lit(self.q.lower())).cast("int").alias("whole"))
+        lexical = near.join(whole, ["document_id", "ordinal"]).select("document_id", "ordinal", (F.col("density") + F.col("whole")).alias("score"), F.lit("lexical").alias("channel"))
+        head = self.header.join(F.broadcast(ids), "document_id", "left_semi").select("document_id", F.lit(0).alias("ordinal"), "score", F.lit("metadata").alias("channel"))
         best = first_per(lexical, ["document_id"], [F.desc("score"), "ordinal"], most)
         return first_per(best.unionByName(head), ["document_id"], [F.desc("score"), "ordinal"], most)
 
+    def vectors(self, vector: list[float], most: int = 3, each: int = 64) -> DataFrame:
+        """document_id, ordinal, score: the nearest chunks of the shortlist, among the first each of a document with the query's dimensions."""
+        ids = self.spark.createDataFrame([(i,) for i, _ in self.top()], "document_id string")
+        chunks = chunk_vectors(self.spark, self.sf_dir).where(F.size("embedding") == len(vector)).join(F.broadcast(ids), "document_id", "left_semi")
+        scored = first_per(chunks, ["document_id"], ["ordinal", "vec_id"], each).withColumn("score", F.round(cosine(F.col("embedding"), vector), 9))
+        return first_per(scored.where("score is not null"), ["document_id"], [F.desc("score"), "ordinal"], most).select("document_id", "ordinal", "score")
+
 
-def lexical(spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int = 120) -> tuple[Lexical, str]:
+def lexical(spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120) -> tuple[Lexical, str]:
     """All units first; any of them only if nothing has all and the query has more than one."""
     found = Lexical(spark, sf_dir, q, filters, limit)
-    if len(found.units) > 1 and found.shortlist.isEmpty():
+    if len(found.units) > 1 and (found.matched.isEmpty() if limit is None else not found.top()):
         return Lexical(spark, sf_dir, q, filters, limit, "any"), "any_term_fallback"
     return found, "all_terms"
 
@@ -168,6 +142,9 @@ def lexical(spark: SparkSession, sf_dir: str, q: str, filters: dict | None = Non
 _HEAD = "concat_ws(' ', title, array_to_string(tags, ' '), array_to_string(tickers, ' '), array_to_string(companies, ' '))"
 _LEX = f"lex_ AS (SELECT document_id, revision_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), {_TERM}))) AS lexemes, list_distinct(regexp_extract_all(lower({_HEAD}), {_TERM})) AS head FROM pages_)"
 
+#: Words of documents as their blocks have them, for DuckDB; to follow pages_ and blocks_.
+_BLEX = f"lex_ AS (SELECT p.document_id, coalesce(b.lexemes, []) AS lexemes, list_distinct(regexp_extract_all(lower({_HEAD}), {_TERM})) AS head FROM pages_ p LEFT JOIN (SELECT document_id, list_distinct(flatten(list(regexp_extract_all(lower(text), {_TERM})))) AS lexemes FROM blocks_ GROUP BY 1) b USING (document_id))"
+
 
 @query("k7_lexemes", f"{P}, {_LEX} SELECT document_id, revision_id, CAST(len(lexemes) AS INTEGER) AS n, sha256(array_to_string(lexemes, ' ')) AS hash FROM lex_")
 def k7(spark, sf_dir):
@@ -195,52 +172,98 @@ def k8(spark, sf_dir):
     return projection(stale(docs, kept)).select("document_id", F.size("lexemes").alias("n"))
 
 
-@query("f4_any_and_all", f"{P}, {_LEX} SELECT document_id, list_has_all(lexemes, ['the', 'of']) AS every, list_has_any(lexemes, ['the', 'der']) AS some FROM lex_ WHERE list_has_any(lexemes, ['the', 'of', 'der'])")
+@query("f4_any_and_all", f"{B}, {_BLEX} SELECT document_id, list_has_all(lexemes, ['the', 'of']) AS every, list_has_any(lexemes, ['the', 'der']) AS some FROM lex_ WHERE list_has_any(lexemes, ['the', 'of', 'der'])")
 def f4(spark, sf_dir):
     """Recall of all and of any units from the projection."""
-    path = index(spark, sf_dir)
-    every = recalled(spark, path, [["the"], ["of"]], "body", "all").withColumn("every", F.lit(True))
-    some = recalled(spark, path, [["the"], ["der"]], "body", "any").withColumn("some", F.lit(True))
-    base = recalled(spark, path, [["the"], ["of"], ["der"]], "body", "any")
-    return base.join(every, "document_id", "left").join(some, "document_id", "left").select("document_id", F.coalesce("every", F.lit(False)).alias("every"), F.coalesce("some", F.lit(False)).alias("some"))
+    found = index(spark, sf_dir).lookup(["the", "of", "der"]).where(F.col("ordinal") >= 0)
+    terms_ = found.groupBy("document_id").agg(F.collect_set("term").alias("t"))
+    has = lambda w: F.array_contains("t", w)
+    return terms_.select("document_id", (has("the") & has("of")).alias("every"), (has("the") | has("der")).alias("some"))
 
 
-@query("x1_search", f"{P}, {_LEX} SELECT document_id, CASE WHEN contains(lower(title), 'from src1') THEN 12 WHEN list_has_all(head, ['from', 'src1']) THEN 4 ELSE 0 END AS header_floor FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND lang = 'en' AND (contains(lower(title), 'from src1') OR list_has_all(head, ['from', 'src1']) OR list_has_all(lexemes, ['from', 'src1']))")
+@query("x1_search", f"{B}, {_BLEX} SELECT document_id, CASE WHEN contains(lower(title), 'from src1') THEN 12 WHEN list_has_all(head, ['from', 'src1']) THEN 4 ELSE 0 END AS header_floor FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND lang = 'en' AND (contains(lower(title), 'from src1') OR list_has_all(head, ['from', 'src1']) OR list_has_all(lexemes, ['from', 'src1']))")
 def x1(spark, sf_dir):
     """Which documents a search with a filter finds, and the least that their headers are worth (4, and 8 for the title)."""
-    found, _ = lexical(spark, sf_dir, "from src1", {"field": "lang", "op": "eq", "value": "en"}, limit=100_000)
+    found, _ = lexical(spark, sf_dir, "from src1", {"field": "lang", "op": "eq", "value": "en"}, limit=None)
     return found.shortlist.select("document_id", F.when(F.col("score") >= 12, 12).when(F.col("score") >= 4, 4).otherwise(0).alias("header_floor"))
 
 
-@query("x1_matched_total", f"{P}, {_LEX}, m AS (SELECT document_id FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND list_has_all(lexemes, ['the', 'and'])) SELECT least((SELECT count(*) FROM m), 5) AS returned, (SELECT count(*) FROM m) AS matched_documents")
+@query("x1_matched_total", f"{B}, {_BLEX}, m AS (SELECT document_id FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND list_has_all(lexemes, ['the', 'and'])) SELECT least((SELECT count(*) FROM m), 5) AS returned, (SELECT count(*) FROM m) AS matched_documents")
 def x1_matched(spark, sf_dir):
     """The shortlist and how many were matched before its limit."""
     found, _ = lexical(spark, sf_dir, "the and", limit=5)
-    return found.shortlist.agg(F.count("*").alias("returned")).join(found.matched.agg(F.count("*").alias("matched_documents")))
+    return spark.createDataFrame([(len(found.top()), found.total)], "returned long, matched_documents long")
 
 
-@query("x2_any_label", f"{P}, {_LEX} SELECT document_id, 'any_term_fallback' AS lexical_match FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND list_has_any(lexemes, ['der', 'zzzzqq'])")
+@query("x2_any_label", f"{B}, {_BLEX} SELECT document_id, 'any_term_fallback' AS lexical_match FROM lex_ JOIN pages_ USING (document_id) WHERE NOT deleted AND list_has_any(lexemes, ['der', 'zzzzqq'])")
 def x2(spark, sf_dir):
-    found, how = lexical(spark, sf_dir, "der zzzzqq", limit=100_000)
+    found, how = lexical(spark, sf_dir, "der zzzzqq", limit=None)
     return found.shortlist.select("document_id", F.lit(how).alias("lexical_match"))
 
 
-@query("x3_phrases", "SELECT unnest(['a', 'c', 'e']) AS document_id")
+def _with_han(docs: DataFrame) -> DataFrame:
+    """Documents of which some begin with Han words: as a phrase, with a character between, full-width, or in the header only."""
+    n = F.col("doc_id")
+    text = F.when(n % 5 == 0, F.concat(F.lit("央行加息, AI "), "text")).when(n % 5 == 1, F.concat(F.lit("加大息 ai "), "text")).when(n % 5 == 2, F.concat(F.lit("ＡＩ：加息 "), "text")).otherwise(F.col("text"))
+    return docs.withColumn("text", text).withColumn("title", F.when(n % 5 == 3, F.concat("title", F.lit(" 加息 ai"))).otherwise(F.col("title")))
+
+
+@query("x3_phrases", f"{P} SELECT document_id, 'body' AS field FROM pages_ WHERE doc_id % 5 IN (0, 2) AND text <> '' UNION ALL SELECT document_id, 'header' FROM pages_ WHERE doc_id % 5 = 3")
 def x3(spark, sf_dir):
-    """Han phrases stand in one block, word by word; another character between them, or another block, is no phrase."""
-    rows = [("a", 0, "加 息 ai"), ("b", 0, "加大息 ai"), ("c", 0, "央行加息, AI"), ("d", 0, "加"), ("d", 1, "息 ai"), ("e", 1, "ＡＩ：加息")]
-    found = spark.createDataFrame(rows, "document_id string, ordinal int, text string")
-    (phrase,) = [u for u in query_terms("加息") if len(u) > 1]
-    return found.where(phrase_in(terms(F.col("text")), phrase)).select("document_id").distinct()
+    """A query of a Han phrase and a word over the corpus's texts, some with Han words: the phrase's characters follow each other in one
+    block, by their positions in the postings; another character between them is no phrase; full-width forms are folded."""
+    made = Projection.create(spark, f"{scratch(spark)}/han-{uuid.uuid4().hex}")
+    made.refresh(_with_han(pages(spark, sf_dir).where("text <> ''").withColumn("revision_id", F.lit("han"))))
+    units = query_terms("加息 AI")
+    found = made.lookup(sorted({w for u in units for w in u}))
+    arms = [recalled(found.where(F.col("ordinal") >= 0 if name == "body" else F.col("ordinal") == HEADER), units, "all").select("document_id", F.lit(name).alias("field")) for name in ("body", "header")]
+    return arms[0].union(arms[1])
+
+
+@query("k8_delta_segments", f"{P} SELECT (SELECT count(*) FROM pages_ WHERE doc_id % 100 = 3) AS tokenised, (SELECT count(*) FROM pages_ WHERE doc_id % 100 = 7) AS removed, 2 AS segments, (SELECT count(*) FROM pages_ WHERE doc_id % 100 = 3) AS found, 0 AS left_over")
+def k8_delta(spark, sf_dir):
+    """After one document in a hundred has changed and another in a hundred has gone, only the changed are tokenised, and a search
+    sees their new words, and none of those that are gone."""
+    docs = pages(spark, sf_dir).withColumn("text", F.concat(F.lit("oldzebra "), F.coalesce("text", F.lit(""))))
+    made = Projection.create(spark, f"{scratch(spark)}/delta-{uuid.uuid4().hex}")
+    made.refresh(docs)
+    changed = F.col("doc_id") % 100 == 3
+    now = docs.where("doc_id % 100 <> 7").withColumn("text", F.when(changed, F.replace("text", F.lit("oldzebra"), F.lit("newzebra"))).otherwise(F.col("text"))).withColumn("revision_id", F.when(changed, F.concat("revision_id", F.lit(":2"))).otherwise(F.col("revision_id")))
+    told = made.refresh(now)
+    found = made.lookup(["newzebra"]).agg(F.count("*").alias("found"))
+    left = made.lookup(["oldzebra"]).join(docs.where("doc_id % 100 in (3, 7)").select("document_id"), "document_id", "left_semi").agg(F.count("*").alias("left_over"))
+    counts = spark.createDataFrame([(told["tokenised"], told["removed"], told["segments"])], "tokenised long, removed long, segments int")
+    return counts.join(found).join(left)
+
+
+#: A search for one word: its shortlist, and of each document the three blocks that have it most often, for DuckDB. One word's cover
+#: density is the number of its occurrences, and a block that has it holds the query as a whole.
+_ONE = f"""short_ AS (SELECT document_id FROM (SELECT DISTINCT document_id FROM blocks_ WHERE list_contains(regexp_extract_all(lower(text), {_TERM}), 'with')) JOIN (SELECT document_id FROM pages_ WHERE NOT deleted AND lang = 'en') USING (document_id) ORDER BY document_id LIMIT 120),
+l AS (SELECT document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM (SELECT document_id, ordinal, 1.0 + len(list_filter(regexp_extract_all(lower(text), {_TERM}), lambda x: x = 'with')) AS score FROM blocks_ JOIN short_ USING (document_id)) WHERE score > 1) WHERE n <= 3),
+v AS (SELECT 'doc:' || e.vec_id AS document_id, 0 AS ordinal, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE 'doc:' || e.vec_id IN (SELECT document_id FROM short_)),
+f AS (SELECT document_id, ordinal, sum(s) AS score, string_agg(c, ',' ORDER BY c) AS channels FROM (SELECT document_id, ordinal, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, document_id, ordinal)) AS s, 'lexical' AS c FROM l UNION ALL SELECT document_id, ordinal, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, document_id, ordinal)), 'vector' FROM v) GROUP BY 1, 2)"""
+
+
+def _one_word(spark, sf_dir) -> Lexical:
+    return Lexical(spark, sf_dir, "with", {"field": "lang", "op": "eq", "value": "en"})
+
+
+def _channels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The channels of a search for one word with a vector: passages and nearest chunks of its shortlist."""
+    found = _one_word(spark, sf_dir)
+    q = [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+    return found.passages().where("channel = 'lexical'"), found.vectors(q)
 
 
-@query("x5_hydrated", f"{B} SELECT p.document_id, p.revision_id, b.ordinal FROM pages_ p LEFT JOIN blocks_ b ON b.document_id = p.document_id AND b.revision_id = p.revision_id AND b.ordinal = 1 WHERE NOT p.deleted AND p.doc_id % 10 = 3 AND p.lang = 'en'")
+@query("x5_hydrated", f"{B}, {_ONE} SELECT l.document_id, p.revision_id, l.ordinal, b.text FROM l JOIN pages_ p USING (document_id) JOIN blocks_ b USING (document_id, ordinal)")
 def x5(spark, sf_dir):
-    """Picked blocks with their documents at the active revision; the filter is checked again; a document without the block stays."""
-    docs = apply_filter(pages(spark, sf_dir).where("not deleted and doc_id % 10 = 3"), {"field": "lang", "op": "eq", "value": "en"})
-    picks = docs.select("document_id", F.lit(1).alias("ordinal"))
-    chosen = blocks(spark, sf_dir).join(picks, ["document_id", "ordinal"], "left_semi").select("document_id", "revision_id", "ordinal")
-    return docs.select("document_id", "revision_id").join(chosen, ["document_id", "revision_id"], "left")
+    """The blocks that a search picked, with their documents: row groups without its shortlist are not read, and the active
+    revision and the filter are checked again."""
+    found = _one_word(spark, sf_dir)
+    docs = apply_filter(found.docs, {"field": "lang", "op": "eq", "value": "en"}).select("document_id", "revision_id")
+    picks = found.passages().where("channel = 'lexical'").select("document_id", "ordinal")
+    chosen = found.blocks().join(F.broadcast(picks), ["document_id", "ordinal"], "left_semi").select("document_id", "revision_id", "ordinal", "text")
+    return docs.join(chosen, ["document_id", "revision_id"]).select("document_id", "revision_id", "ordinal", "text")
 
 
 def fused(channels: list[tuple[str, DataFrame]], k: int = 60) -> DataFrame:
@@ -255,33 +278,23 @@ def fused(channels: list[tuple[str, DataFrame]], k: int = 60) -> DataFrame:
     return out.groupBy("document_id", "ordinal").agg(F.sum("s").alias("score"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"))
 
 
-def _channels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = pages(spark, sf_dir).where("text <> '' and not deleted")
-    lexical_ = docs.select("document_id", F.lit(0).alias("ordinal"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "document_id", "ordinal").limit(100)
-    vector = docs.select("document_id", (F.col("doc_id") % 2).cast("int").alias("ordinal"), (F.col("doc_id") % 97).cast("double").alias("score")).orderBy(F.desc("score"), "document_id", "ordinal").limit(100)
-    return lexical_, vector
-
-
-_FUSED = "l AS (SELECT document_id, 0 AS ordinal, CAST(n_chars AS DOUBLE) AS score FROM pages_ WHERE text <> '' AND NOT deleted ORDER BY score DESC, document_id, ordinal LIMIT 100), v AS (SELECT document_id, CAST(doc_id % 2 AS INTEGER) AS ordinal, CAST(doc_id % 97 AS DOUBLE) AS score FROM pages_ WHERE text <> '' AND NOT deleted ORDER BY score DESC, document_id, ordinal LIMIT 100), f AS (SELECT document_id, ordinal, sum(s) AS score, string_agg(c, ',' ORDER BY c) AS channels FROM (SELECT document_id, ordinal, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, document_id, ordinal)) AS s, 'lexical' AS c FROM l UNION ALL SELECT document_id, ordinal, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, document_id, ordinal)), 'vector' FROM v) GROUP BY 1, 2)"
-
-
-@query("x6_fusion", f"{P}, {_FUSED} SELECT document_id, ordinal, round(score, 12) AS score, channels FROM f")
+@query("x6_fusion", f"{B}, {_ONE} SELECT document_id, ordinal, round(score, 12) AS score, channels FROM f")
 def x6(spark, sf_dir):
     lexical_, vector = _channels(spark, sf_dir)
     return fused([("lexical", lexical_), ("vector", vector)]).withColumn("score", F.round("score", 12))
 
 
-@query("x7_borrowed_evidence", f"{P}, {_FUSED} SELECT m.document_id, CASE WHEN l.document_id IS NULL THEN m.document_id || ':document' ELSE m.document_id || ':' || l.ordinal END AS key FROM (SELECT document_id FROM pages_ WHERE doc_id % 3 = 0) m LEFT JOIN l USING (document_id)")
+@query("x7_borrowed_evidence", f"{B}, {_ONE}, best AS (SELECT document_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM l) WHERE n = 1) SELECT p.document_id, p.document_id || ':' || coalesce(CAST(best.ordinal AS VARCHAR), 'document') AS key FROM pages_ p LEFT JOIN best USING (document_id) WHERE NOT p.deleted AND contains(lower(p.title), 'src1')")
 def x7(spark, sf_dir):
-    """A hit in a header borrows the document's first passage; without one it stands for the document."""
+    """A hit in a header borrows its document's first passage of the search; without one it stands for the document."""
     lexical_, _ = _channels(spark, sf_dir)
     first = first_per(lexical_, ["document_id"], [F.desc("score"), "ordinal"]).select("document_id", "ordinal")
-    heads = pages(spark, sf_dir).where("doc_id % 3 = 0").select("document_id")
+    heads = pages(spark, sf_dir).where(~F.col("deleted") & F.contains(F.lower("title"), F.lit("src1"))).select("document_id")
     key = F.concat("document_id", F.lit(":"), F.coalesce(F.col("ordinal").cast("string"), F.lit("document")))
     return heads.join(first, "document_id", "left").select("document_id", key.alias("key"))
 
 
-@query("x8_diversified", f"{P}, {_FUSED} SELECT document_id, ordinal, 'document' AS grouping FROM (SELECT f.*, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM f) WHERE n <= 1 UNION ALL SELECT document_id, ordinal, 'family' FROM (SELECT f.*, row_number() OVER (PARTITION BY family_id ORDER BY score DESC, document_id, ordinal) AS n FROM f JOIN pages_ USING (document_id)) WHERE n <= 1 UNION ALL SELECT document_id, ordinal, 'passage' FROM (SELECT f.*, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM f) WHERE n <= 3")
+@query("x8_diversified", f"{B}, {_ONE} SELECT document_id, ordinal, 'document' AS grouping FROM (SELECT f.*, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM f) WHERE n <= 1 UNION ALL SELECT document_id, ordinal, 'family' FROM (SELECT f.*, row_number() OVER (PARTITION BY family_id ORDER BY score DESC, document_id, ordinal) AS n FROM f JOIN pages_ USING (document_id)) WHERE n <= 1 UNION ALL SELECT document_id, ordinal, 'passage' FROM (SELECT f.*, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM f) WHERE n <= 3")
 def x8(spark, sf_dir):
     """One passage of a document, one of a family, or three of a document."""
     lexical_, vector = _channels(spark, sf_dir)
@@ -340,11 +353,11 @@ def x11(spark, sf_dir):
     return entity_search(docs, resolved(mentions(pages(spark, sf_dir)), known), known, " Supplier#000000004", "company", "family_id")
 
 
-@query("x12_expected", f"{P}, {_LEX} SELECT unnest(['doc:3', 'doc:11', 'none']) AS expected_id, unnest([(SELECT count(*) FROM pages_ WHERE document_id = 'doc:3'), (SELECT count(*) FROM pages_ WHERE document_id = 'doc:11'), 0]) > 0 AS exists, unnest([(SELECT count(*) FROM pages_ WHERE document_id = 'doc:3' AND NOT deleted), (SELECT count(*) FROM pages_ WHERE document_id = 'doc:11' AND NOT deleted), 0]) > 0 AS passes_filters, unnest([(SELECT count(*) FROM lex_ JOIN pages_ USING (document_id) WHERE document_id = 'doc:3' AND NOT deleted AND list_has_all(lexemes, ['the'])), (SELECT count(*) FROM lex_ JOIN pages_ USING (document_id) WHERE document_id = 'doc:11' AND NOT deleted AND list_has_all(lexemes, ['the'])), 0]) > 0 AS recalled")
+@query("x12_expected", f"{B}, {_BLEX} SELECT unnest(['doc:3', 'doc:11', 'none']) AS expected_id, unnest([(SELECT count(*) FROM pages_ WHERE document_id = 'doc:3'), (SELECT count(*) FROM pages_ WHERE document_id = 'doc:11'), 0]) > 0 AS exists, unnest([(SELECT count(*) FROM pages_ WHERE document_id = 'doc:3' AND NOT deleted), (SELECT count(*) FROM pages_ WHERE document_id = 'doc:11' AND NOT deleted), 0]) > 0 AS passes_filters, unnest([(SELECT count(*) FROM lex_ JOIN pages_ USING (document_id) WHERE document_id = 'doc:3' AND NOT deleted AND list_has_all(lexemes, ['the'])), (SELECT count(*) FROM lex_ JOIN pages_ USING (document_id) WHERE document_id = 'doc:11' AND NOT deleted AND list_has_all(lexemes, ['the'])), 0]) > 0 AS recalled")
 def x12(spark, sf_dir):
     """Where an expected document was lost: not there, filtered out, or not recalled."""
     docs = pages(spark, sf_dir)
-    found, _ = lexical(spark, sf_dir, "the", limit=100_000)
+    found, _ = lexical(spark, sf_dir, "the", limit=None)
     asked = spark.createDataFrame([("doc:3",), ("doc:11",), ("none",)], "expected_id string")
     mark = lambda rows, name: rows.select(F.col("document_id").alias("expected_id")).distinct().withColumn(name, F.col("expected_id"))
     joined = asked.join(mark(docs, "e"), "expected_id", "left").join(mark(docs.where(~F.col("deleted")), "f"), "expected_id", "left").join(mark(found.shortlist, "r"), "expected_id", "left")

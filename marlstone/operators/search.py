@@ -7,69 +7,59 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..registry import registry
 from ..views import DOCS, documents, table
+from .segments import recalled
 from .windows import first_per
 
 QUERIES, SQL, query = registry()
 RRF = 60
-_W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_T = "regexp_extract_all(lower(text), '\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*')"
+#: Words of each block of a text (the supplied texts have no marks, so that a block is a slice), and of all blocks, for DuckDB.
+_TB = "list_transform(range(CAST(ceil(length(text) / 1800.0) AS BIGINT)), lambda k: regexp_extract_all(lower(substr(text, CAST(1800 * k + 1 AS BIGINT), 1800)), '\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*'))"
+_T = f"flatten({_TB})"
 
 
-def has_phrase(terms: Column, phrase: list[str]) -> Column:
-    """True where the words of phrase follow each other."""
-    n = len(phrase)
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms) - n + 1))
-    return F.exists(at, lambda i: F.slice(terms, i, n) == F.array(*[F.lit(p) for p in phrase]))
+def _bodies(spark, sf_dir, words: list[str]) -> DataFrame:
+    """Postings of words in texts, from the projection."""
+    from .retrieval import index
 
+    return index(spark, sf_dir).lookup(words).where(F.col("ordinal") >= 0)
 
-def recall(docs: DataFrame, terms: list[str], match: str = "all") -> DataFrame:
-    """Documents with all (or any) of the terms in their text."""
-    found = [F.array_contains("words", t) for t in terms]
-    test = found[0]
-    for f in found[1:]:
-        test = test & f if match == "all" else test | f
-    return docs.withColumn("words", F.array_distinct(words("text"))).where(test)
 
-
-def search_terms(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, str]:
-    """All terms first; any of them only if no document has all."""
-    strict = recall(docs, terms, "all")
-    if len(terms) > 1 and strict.isEmpty():
-        return recall(docs, terms, "any"), "any"
-    return strict, "all"
+def _live(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).where(~F.col("deleted")).select("document_id")
 
 
 @query("x1_lexical_all", f"{DOCS} SELECT document_id FROM docs WHERE NOT deleted AND list_has_all({_T}, ['the', 'and', 'with'])")
 def x1(spark, sf_dir):
     """All terms, from the lexeme projection: no text is read."""
-    from .retrieval import index, recalled
-
-    live = documents(spark, sf_dir).where(~F.col("deleted")).select("document_id")
-    return recalled(spark, index(spark, sf_dir), [["the"], ["and"], ["with"]], "body", "all").join(live, "document_id", "left_semi")
+    words = ["the", "and", "with"]
+    return recalled(_bodies(spark, sf_dir, words), [[w] for w in words], "all").join(_live(spark, sf_dir), "document_id", "left_semi")
 
 
-@query("x2_any_fallback", f"{DOCS} SELECT document_id, 'any' AS lexical_match FROM docs WHERE NOT deleted AND list_has_any({_W}, ['con', 'zzzzzz'])")
+@query("x2_any_fallback", f"{DOCS} SELECT document_id, 'any' AS lexical_match FROM docs WHERE NOT deleted AND list_has_any({_T}, ['con', 'zzzzzz'])")
 def x2(spark, sf_dir):
-    found, match = search_terms(documents(spark, sf_dir).where(~F.col("deleted")), ["con", "zzzzzz"])
-    return found.select("document_id", F.lit(match).alias("lexical_match"))
+    """All terms first; any of them only if no document has all."""
+    words = ["con", "zzzzzz"]
+    found, match = _bodies(spark, sf_dir, words), "all"
+    hits = recalled(found, [[w] for w in words], match).join(_live(spark, sf_dir), "document_id", "left_semi")
+    if hits.isEmpty():
+        match = "any"
+        hits = recalled(found, [[w] for w in words], match).join(_live(spark, sf_dir), "document_id", "left_semi")
+    return hits.select("document_id", F.lit(match).alias("lexical_match"))
 
 
-@query("x3_phrase", f"{DOCS} SELECT document_id FROM docs WHERE contains(' ' || array_to_string({_W}, ' ') || ' ', ' of the ')")
+@query("x3_phrase", f"{DOCS} SELECT document_id FROM docs WHERE len(list_filter({_TB}, lambda t: contains(' ' || array_to_string(t, ' ') || ' ', ' of the '))) > 0")
 def x3(spark, sf_dir):
-    """Recall by both words first, adjacency after."""
-    return recall(documents(spark, sf_dir), ["of", "the"]).where(has_phrase(words("text"), ["of", "the"])).select("document_id")
+    """Words that follow each other in one block, by their positions in the postings."""
+    return recalled(_bodies(spark, sf_dir, ["of", "the"]), [["of", "the"]], "all")
 
 
 @query("x1_shortlist", f"{DOCS} SELECT document_id, score FROM (SELECT document_id, CASE WHEN list_has_all({_T}, ['the', 'for']) THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(title), 'src1') THEN 8 + 4 ELSE 0 END AS score FROM docs WHERE NOT deleted) WHERE score > 0 ORDER BY score DESC, document_id LIMIT 120")
 def x1_shortlist(spark, sf_dir):
     """Body recall weighs 0.1, a title that holds the query 12; scores add up; a bounded shortlist."""
-    from .retrieval import index, recalled
-
     docs = documents(spark, sf_dir).where(~F.col("deleted"))
-    body = recalled(spark, index(spark, sf_dir), [["the"], ["for"]], "body", "all").select("document_id", F.lit(0.1).alias("s"))
+    body = recalled(_bodies(spark, sf_dir, ["the", "for"]), [["the"], ["for"]], "all").select("document_id", F.lit(0.1).alias("s"))
     head = docs.where(F.contains(F.lower("title"), F.lit("src1"))).select("document_id", F.lit(12.0).alias("s"))
     score = body.unionByName(head).groupBy("document_id").agg(F.sum("s").alias("score"))
     return score.join(docs.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "document_id").limit(120)
