@@ -14,6 +14,8 @@ _MODULES = (
     "operators.retrieval",
     "operators.graph",
     "operators.networks",
+    "operators.intervals",
+    "operators.walk",
     "operators.entities",
     "operators.mentions",
     "operators.pages",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,30 +26,34 @@ def edges(spark, sf_dir) -> DataFrame:
     return arm("supplier", "s", "s_suppkey", "n", "s_nationkey", "located_in").unionByName(arm("customer", "c", "c_custkey", "n", "c_nationkey", "located_in")).unionByName(arm("nation", "n", "n_nationkey", "r", "n_regionkey", "part_of"))
 
 
-def traverse(graph: DataFrame, seed: str, depth: int = 2, max_nodes: int = 100, max_edges: int = 300) -> tuple[list[str], list[tuple], bool]:
-    """Nodes, edges and whether the budget cut the walk. Edges are taken in order; one that would exceed the nodes ends it.
+def traverse(graph: DataFrame, seed: str, depth: int = 2, max_nodes: int = 100, max_edges: int = 300, direction: str = "both") -> tuple[list[str], list[tuple], bool]:
+    """Nodes, edges and whether the budget cut the walk, from one seed (``walk`` is the same for many). Edges are taken in order; one
+    that would exceed a budget ends it. Direction holds on every hop.
 
-    Each level asks Spark for max_edges + 1 edges at most, so what reaches the driver is bounded by the budget.
+    Each level asks Spark for max_edges + 1 edges, so what reaches the driver is bounded by the budget.
     """
-    nodes, taken, frontier, cut = [seed], [], [seed], False
+    names = [c for c in (*EDGE, "provenance") if c in graph.columns]
+    sides = {"outgoing": ["source"], "incoming": ["target"], "both": ["source", "target"]}[direction]
+    nodes, taken, frontier, cut = {seed: None}, {}, [seed], False
     for _ in range(depth):
         if not frontier or cut:
             break
-        near = graph.where(F.col("source").isin(frontier) | F.col("target").isin(frontier)).orderBy(*EDGE).limit(max_edges + 1 + len(taken)).collect()
-        found: list[str] = []
-        for e in near:
-            edge = (e["source"], e["target"], e["type"])
+        at = reduce(or_, [F.col(s).isin(frontier) for s in sides])
+        near = [tuple(r) for r in graph.select(*names).where(at).orderBy(*names).limit(max_edges + 1).collect()]
+        found = []
+        for edge in near:
             if edge in taken:
                 continue
-            new = [x for x in edge[:2] if x not in nodes]
+            new = [x for x in dict.fromkeys(edge[:2]) if x not in nodes]
             if len(taken) + 1 > max_edges or len(nodes) + len(new) > max_nodes:
                 cut = True
                 break
-            taken.append(edge)
-            nodes += new
+            taken[edge] = None
+            nodes |= dict.fromkeys(new)
             found += new
+        cut = cut or len(near) > max_edges
         frontier = found
-    return nodes, taken, cut
+    return list(nodes), list(taken), cut
 
 
 @query("g3_bfs", EDGES + "SELECT source, target, type FROM edges WHERE source = 'n3' OR target = 'n3' OR source IN (SELECT source FROM edges WHERE target = 'n3') OR target IN (SELECT target FROM edges WHERE source = 'n3')")

@@ -126,14 +126,6 @@ def g9(spark, sf_dir):
     return pages(spark, sf_dir).where(~F.col("deleted")).join(hit, "document_id", "left_semi").select("slug")
 
 
-@query("g10_link_neighbourhood", "WITH links AS (SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, 'has' AS type FROM lineitem), a AS (SELECT * FROM links WHERE source = 'o1'), n AS (SELECT target AS id FROM a), b AS (SELECT * FROM links WHERE target IN (SELECT id FROM n)) SELECT source, target, type FROM b")
-def g10(spark, sf_dir):
-    """Edges of a link table around a page, up to three hops, with caps on edges and nodes."""
-    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("has").alias("type")).distinct()
-    _, taken, _ = traverse(links, "o1", depth=2, max_nodes=100_000, max_edges=2000)
-    return spark.createDataFrame(taken, "source string, target string, type string")
-
-
 def hub_index(docs: DataFrame, found: DataFrame) -> DataFrame:
     """slug, hub, kind, evidence, pages: tags but for the generic ones and curated entities of each page, up to three proofs of each
     link, and how many pages a hub has."""
