@@ -19,8 +19,35 @@ from ..views import DOCS, documents
 
 QUERIES, SQL, query = registry()
 
-#: Kinds of the fields that may be filtered.
-FIELDS = {"document_id": "string", "title": "string", "lang": "string", "institution": "string", "published_at": "date", "tags": "array", "entity_ids": "array"}
+#: Fields of the metadata that may be filtered, and their kinds.
+METADATA = {
+    "tags": "array",
+    "tickers": "array",
+    "companies": "array",
+    "industries": "array",
+    "topic_primary": "string",
+    "subfields": "array",
+    "institutions": "array",
+    "authors": "array",
+    "aliases": "array",
+    "markets": "array",
+    "research_topics": "array",
+    "page_type": "string",
+    "research_category": "string",
+    "document_type": "string",
+    "language": "string",
+    "research_stage": "string",
+    "review_status": "string",
+    "region": "string",
+    "status": "string",
+    "published_at": "date",
+    "data_as_of": "date",
+    "ingested_at": "date",
+    "updated_at": "date",
+    "entity_ids": "array",
+}
+#: These, and what this library's tables have beside them.
+FIELDS = METADATA | {"document_id": "string", "title": "string", "lang": "string", "institution": "string"}
 _OPS = {"string": {"eq", "in", "exists"}, "date": {"eq", "in", "exists", "gte", "lte"}, "array": {"eq", "in", "exists", "contains_all", "contains_any", "contains_none"}}
 DEPTH, NODES, VALUES, LENGTH = 5, 100, 100, 500
 
@@ -118,11 +145,24 @@ def combine(*filters: dict | None) -> dict | None:
     return None if not found else found[0] if len(found) == 1 else {"all": found}
 
 
+def asked(node: dict | None) -> set[str]:
+    """Fields that a filter reads."""
+    if node is None:
+        return set()
+    if "not" in node:
+        return asked(node["not"])
+    return {node["field"]} if "field" in node else set().union(*(asked(x) for x in node.get("all", node.get("any"))))
+
+
 def apply_filter(df: DataFrame, node: dict | None) -> DataFrame:
+    """Rows that pass; a known field that df has no column for is missing in every row."""
     if node is None:
         return df
     validate(node)
-    return df.where(compile_filter(node))
+    absent = sorted(asked(node) - set(df.columns))
+    for field in absent:
+        df = df.withColumn(field, F.lit(None).cast("array<string>" if FIELDS[field] == "array" else "string"))
+    return df.where(compile_filter(node)).drop(*absent)
 
 
 def _leaf(field: str, op: str, value) -> dict:

@@ -78,10 +78,10 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Lexical:
     """One lexical search: shortlist (document_id, score), passages, and how it matched. Without a limit all matches are the shortlist."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120, match: str = "all"):
+    def __init__(self, spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120, match: str = "all", docs: DataFrame | None = None):
         self.spark, self.sf_dir, self.q, self.units, self.limit = spark, sf_dir, q, query_terms(q), limit
         self.words = sorted({w for u in self.units for w in u})
-        self.index, docs = index(spark, sf_dir), pages(spark, sf_dir).where(~F.col("deleted"))
+        self.index, docs = index(spark, sf_dir), pages(spark, sf_dir).where(~F.col("deleted")) if docs is None else docs
         self.docs, self.found = docs, self.index.lookup(self.words)
         heads = self.found.where(F.col("ordinal") == HEADER)
         body = recalled(self.found.where(F.col("ordinal") >= 0), self.units, match)
@@ -131,11 +131,12 @@ class Lexical:
         return first_per(scored.where("score is not null"), ["document_id"], [F.desc("score"), "ordinal"], most).select("document_id", "ordinal", "score")
 
 
-def lexical(spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120) -> tuple[Lexical, str]:
-    """All units first; any of them only if nothing has all and the query has more than one."""
-    found = Lexical(spark, sf_dir, q, filters, limit)
+def lexical(spark: SparkSession, sf_dir: str, q: str, filters: dict | None = None, limit: int | None = 120, docs: DataFrame | None = None) -> tuple[Lexical, str]:
+    """All units first; any of them only if nothing has all and the query has more than one. docs: live documents with the fields of
+    the filter, if not those of the corpus itself."""
+    found = Lexical(spark, sf_dir, q, filters, limit, docs=docs)
     if len(found.units) > 1 and (found.matched.isEmpty() if limit is None else not found.top()):
-        return Lexical(spark, sf_dir, q, filters, limit, "any"), "any_term_fallback"
+        return Lexical(spark, sf_dir, q, filters, limit, "any", docs), "any_term_fallback"
     return found, "all_terms"
 
 
