@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 U = np.uint64
+#: Folders of the tables that cut wrote and that are still referred to.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +51,19 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing that is still to be computed reads them: what an operator returns may be written
+    later, so only tables that its result does not read may go."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            session = table.sparkSession
+            place = session._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def smallest(df: DataFrame, by: Column, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fingerprint
+from .common import cut, discard, fingerprint
 
 
 def _forest(batches):
@@ -49,7 +49,8 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct(), "small")
+        used, edges = edges, cut(small.distinct(), "small")
+        discard(used, large)
         after = fingerprint(edges)
         if after == before:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_long, buffers, chunks, cut, mix, numbered, words_of
+from .common import U, as_long, buffers, chunks, cut, discard, mix, numbered, words_of
 from .components import components
 
 #: Permutations (two values each), and bands.
@@ -206,7 +206,9 @@ def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None =
         with_b = likely.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
         counted = with_a.select("a", "b", "x", "y").mapInArrow(_shared, "a long, b long, both long")
-        return cut(counted.join(likely, ["a", "b"]).where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
+        out = cut(counted.join(likely, ["a", "b"]).where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
+        discard(likely)
+        return out
 
     # Full sets of all that share a key with another: the texts are shuffled once.
     nodes = groups.select("node").distinct().hint("shuffle_merge")
@@ -227,6 +229,7 @@ def _linked(docs: DataFrame, width: int, percent: int, same: DataFrame | None =
     # What the stars have compared already need not be compared again.
     more = confirmed(pairs.join(starred, ["a", "b"], "left_anti"))
     final = cut(components(links.union(more)), "components")
+    discard(members, groups, sets, links, more, found, open_)
     named = classes.join(final, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))  # a row without doc_id has none, whatever the others have
