@@ -16,6 +16,9 @@ _MODULES = (
     "operators.networks",
     "operators.intervals",
     "operators.walk",
+    "operators.patterns",
+    "operators.related",
+    "operators.lookup",
     "operators.entities",
     "operators.mentions",
     "operators.pages",

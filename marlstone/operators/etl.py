@@ -102,33 +102,6 @@ def s10_rules(spark, sf_dir):
     return rows.select("page_id", rejected.alias("rejected"), F.when(rejected.isNull(), F.col("text")).alias("text"))
 
 
-@query("t10_quote_grounding", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 8")
-def t10(spark, sf_dir):
-    """Documents that quote a passage: passages are looked up by words within them, then confirmed as substrings.
-
-    The outermost words of a quote may be part of longer words in the document, so keys take inner words: four of a quote of six
-    words or more, one of a quote of three to five. Keys are hashes; a document's keys meet the quotes' keys before any shuffle
-    of texts. Quotes of one or two words have no inner word and are compared with every document.
-    """
-    split = lambda c: F.regexp_extract_all(c, F.lit("[^ \\t\\n\\r]+"), 0)
-    quotes = table(spark, sf_dir, "benchmark").where(F.char_length("text") >= 8).withColumn("w", split("text"))
-    n = F.size("w")
-    width = F.when(n >= 6, 4).when(n >= 3, 1).otherwise(0)
-    quotes = quotes.select("item_id", F.col("text").alias("quote"), width.alias("width"), F.xxhash64(F.concat_ws(" ", F.slice("w", 2, F.greatest(width, F.lit(1))))).alias("k"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split("text").alias("w"))
-
-    def keys(width: int):
-        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
-        return F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, width))))))
-
-    near = None
-    for size in (1, 4):
-        hit = docs.select("doc_id", keys(size).alias("k")).join(quotes.where(F.col("width") == size).select("k", "item_id", "quote"), "k").select("doc_id", "item_id", "quote")
-        near = hit if near is None else near.union(hit)
-    found = docs.join(near.distinct(), "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
-    return found.union(docs.join(quotes.where("width = 0"), F.contains("text", F.col("quote"))).select("doc_id", "item_id"))
-
-
 @query("t7_license_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^(Licensed under|All rights reserved)'))) AS removed FROM documents")
 def t7(spark, sf_dir):
     """Boilerplate lines of each document, counted as they are taken out."""

@@ -10,6 +10,7 @@ from ..model import BLOCKS, ENTITIES, MODEL, PAGES, PREFIXES, blocks, entities,
 from ..registry import registry
 from ..views import table
 from .entities import security_key
+from .patterns import found_in
 from .windows import first_per
 
 QUERIES, SQL, query = registry()
@@ -134,8 +135,10 @@ def in_context(found: DataFrame, rules: DataFrame, context: DataFrame, most_bloc
     open_ = found.where("status <> 'curated'").join(F.broadcast(ruled), ["type", "norm"])  # rules are written by hand
     quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
     pattern = F.concat(quoted("full"), F.lit("\\s*\\(\\s*"), quoted("norm"), F.lit("s?\\s*\\)|(?<![a-z0-9])"), quoted("norm"), F.lit("\\s*\\(\\s*"), quoted("full"), F.lit("\\s*\\)"))
-    read = context.join(complete, "document_id", "left_semi").select("document_id", normal(F.col("text")).alias("body"))
-    hits = open_.join(read, "document_id").where(F.contains("body", F.col("full"))).withColumn("defined", F.rlike(F.col("body"), pattern))
+    read = context.join(complete, "document_id", "left_semi").select("document_id", normal(F.col("text")).alias("body")).withColumn("_at", F.xxhash64("body")).dropDuplicates(["document_id", "_at"])
+    # One pass over each text finds the definitions that stand in it; the pattern is tried on these only.
+    spots = found_in(read, ruled, ["document_id", "_at"], "body", "full").withColumnRenamed("pattern", "full")
+    hits = open_.join(spots, ["document_id", "full"]).join(read, ["document_id", "_at"]).withColumn("defined", F.rlike(F.col("body"), pattern))
     keys = ["document_id", "type", "norm"]
     told = hits.groupBy(*keys).agg(F.countDistinct("meaning").alias("_possible"), F.countDistinct(F.when(F.col("defined"), F.col("meaning"))).alias("_matched"), F.min(F.when(F.col("defined"), F.col("meaning"))).alias("_meaning"))
     asked = open_.select(*keys).distinct().join(complete, "document_id", "left").join(told, keys, "left")
