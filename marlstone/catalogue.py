@@ -31,10 +31,12 @@ _MODULES = (
     "functions.strings",
     "sources.connectors",
     "sources.files",
+    "sources.journal",
     "plans.incremental",
     "plans.projection",
     "plans.service",
     "streaming.events",
+    "streaming.worker",
 )
 
 

@@ -26,11 +26,11 @@ def f2(spark, sf_dir):
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("hash"))
 
 
-@query("f3_query_terms", "SELECT unnest(['加息 AI', '加 息 ai', 'ＡＩ  don''t 3.14 don''t', '央行，加息!']) AS q, unnest(['加+息 ai', '加 息 ai', 'ai don''t 3.14', '央+行 加+息']) AS units")
+@query("f3_query_terms", "SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:80], ' ') AS units FROM (SELECT item_id, regexp_extract_all(lower(text), '\\p{Nd}+(?:[.,]\\p{Nd}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}\\p{N}_]+)*') AS w FROM benchmark)")
 def f3(spark, sf_dir):
-    """Queries to units: neighbouring Han characters are a phrase, anything between them parts it."""
-    asked = ["加息 AI", "加 息 ai", "ＡＩ  don't 3.14 don't", "央行，加息!"]
-    return spark.createDataFrame([(q, " ".join("+".join(u) for u in query_terms(q))) for q in asked], "q string, units string")
+    """Texts as queries: their units, each once and in order, eighty at most."""
+    units = F.pandas_udf(lambda s: s.map(lambda q: " ".join("+".join(u) for u in query_terms(q or ""))), "string")
+    return table(spark, sf_dir, "benchmark").select("item_id", units("text").alias("units"))
 
 
 @query("f7_type_from_slug", "SELECT url, CASE WHEN contains(url, '/en/') THEN 'en' WHEN contains(url, '/fr/') THEN 'fr' WHEN contains(url, '/de/') THEN 'de' WHEN contains(url, '/es/') THEN 'es' ELSE 'note' END AS type FROM pages")

@@ -442,9 +442,10 @@ def n1(spark, sf_dir):
     return top.select("p_partkey", F.round(1.0 / (60 + n), 12).alias("share"))
 
 
-@query("n3_gain", "SELECT k AS place, round(1 / log2(k + 2), 12) AS gain FROM range(10) t(k)")
+@query("n3_gain", "SELECT conv_id, round(sum(1 / log2(turn + 2)), 9) AS gain FROM conversations WHERE role = 'user' GROUP BY 1")
 def n3(spark, sf_dir):
-    return spark.range(10).select(F.col("id").alias("place"), F.round(1 / F.log2(F.col("id") + 2), 12).alias("gain"))
+    """The discounted gain of each conversation's user turns: what stands later is worth less."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.round(F.sum(1 / F.log2(F.col("turn") + 2)), 9).alias("gain"))
 
 
 @query("r2_cosine", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 1) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 9) AS cosine FROM embeddings, q")
