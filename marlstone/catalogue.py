@@ -27,6 +27,7 @@ _MODULES = (
     "operators.maintenance",
     "operators.cleanup",
     "operators.grounding",
+    "operators.overtexts",
     "functions.scalars",
     "functions.strings",
     "sources.connectors",
