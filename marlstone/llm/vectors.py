@@ -37,6 +37,8 @@ BITS, SAMPLE, TURNS = 64, 20_000, 40
 RADIUS = 16
 #: Rows compared with each other at once.
 BLOCK = 2000
+#: Rows that are compared in one task, on average.
+TASK = 20_000
 #: Bytes of the code that make each table's key.
 TABLES = [*itertools.combinations(range(4), 2), *itertools.combinations(range(4, 8), 2)]
 
@@ -227,17 +229,21 @@ def near(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE, radius:
     own = linked.select("pivot").distinct().select(F.col("pivot").alias("node"), F.col("pivot").alias("own"))
     grouped = cut(usable.select("node").join(linked, "node", "left").join(own, "node", "left").select("node", F.coalesce("own", "pivot", "node").alias("pivot")), "groups")
     # Within groups: blocks of vectors against each other.
-    counted = grouped.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = cut(grouped.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "counted")
+    # A vector of a group of many blocks is sent to a cell with each of them: tasks follow the rows that are sent, not the vectors.
+    sent = counted.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    parts = max(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // TASK)
+    counted = counted.drop("n")
     inside = grouped.join(counted, "pivot").join(usable.select("node", "v", "copies"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "v", "copies")
-    parts = max(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), usable.count() // 20_000)
     inside = inside.withColumn("part", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(parts)))
     told = cut(inside.groupBy("part").applyInArrow(_within(least), "node long, others long, root long"), "within")
     # Between groups: by the tables.
     spread = members.join(grouped, "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(*where, "node", "code", "pivot", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    groups = max(parts, len(TABLES) * usable.count() // 20_000)
+    sent = sizes.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / BLOCK))).first()[0] or 0
+    groups = max(parts, sent // TASK)
     spread = spread.withColumn("group", F.pmod(F.xxhash64(*where, "i", "j"), F.lit(groups)))
     pairs = spread.groupBy("group").applyInArrow(_retrieved(TABLES, radius), "a long, b long")
     links = cut(_compared(pairs, usable).where(F.col("cosine") >= least).select("a", "b"), "links")
