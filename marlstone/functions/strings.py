@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..model import PAGES, pages
 from ..registry import registry
 from ..views import table
-from .text import normalize, query_terms
+from .text import is_plain, normalize, query_terms
 
 QUERIES, SQL, query = registry()
 P = f"WITH {PAGES} "
@@ -35,8 +35,10 @@ def _no_marks(text: pd.Series) -> pd.Series:
 
 
 def slug_segment(text: Column) -> Column:
-    """Lower case without accents; letters, marks, digits, . _ and - stay, white space becomes a hyphen. ASCII stays in the JVM."""
-    bare = F.when(text.rlike("^[\\x00-\\x7F]*$"), F.lower(text)).otherwise(F.pandas_udf(_no_marks, "string")(text))
+    """Lower case without accents; letters, marks, digits, . _ and - stay, white space becomes a hyphen. ASCII texts go to Python as
+    nulls."""
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    bare = F.when(plain, F.lower(text)).otherwise(F.pandas_udf(_no_marks, "string")(F.when(~plain, text)))
     kept = F.regexp_replace(bare, r"[^\p{Ll}\p{Lm}\p{Lo}\p{M}\p{N}.\s_\-]", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-"), "^-|-$", "")
 
@@ -146,9 +148,11 @@ def evidence_text(text: Column) -> Column:
     """Text as it is compared with a quote: tags and escapes gone, entities read, compatibility form, plain quotes, single spaces."""
     t = F.regexp_replace(text, r"(?i)</?(?:sup|sub|em|strong|b|i|span)\b[^>]*>", "")
     t = F.regexp_replace(t, r"(?i)</?(?:table|thead|tbody|tfoot|tr|td|th|div|p|br|li|ul|ol|h[1-6])\b[^>]*>", " ")
-    t = F.when(F.contains(t, F.lit("&")), F.pandas_udf(_entities, "string")(t)).otherwise(t)
+    odd = F.contains(t, F.lit("&"))
+    t = F.when(odd, F.pandas_udf(_entities, "string")(F.when(odd, t))).otherwise(t)
     t = F.regexp_replace(t, r"""\\([!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~\\])""", "$1")
-    t = F.when(t.rlike("^[\\x00-\\x7F]*$"), t).otherwise(F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string")(t))
+    plain = is_plain(t)  # in compatibility form already
+    t = F.when(plain, t).otherwise(F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string")(F.when(~plain, t)))
     return F.trim(F.regexp_replace(F.translate(t, "‘’“”", "''\"\""), r"\s+", " "))
 
 

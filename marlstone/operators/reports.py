@@ -48,7 +48,8 @@ def _unaccented(names: pd.Series) -> pd.Series:
 def analyst_id(name: Column) -> Column:
     """Slug of a person: first name and surname with its particles, degrees dropped; ``research`` if nothing is left."""
     name = F.coalesce(name, F.lit(""))
-    name = F.when(name.rlike("^[\\x00-\\x7F]*$"), name).otherwise(F.pandas_udf(_unaccented, "string")(name))
+    ascii_ = name.rlike("^[\\x00-\\x7F]*$")  # these go to Python as nulls
+    name = F.when(ascii_, name).otherwise(F.pandas_udf(_unaccented, "string")(F.when(~ascii_, name)))
     plain = F.split_part(name, F.lit(","), F.lit(1))
     plain = F.regexp_replace(plain, r"(?i)Ph\.\s*D\.?|\b(?:CFA|CPA|CAIA|Jr\.?|MD|AC)\b", "")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\.", ""), r"\s+", " "))
