@@ -42,7 +42,7 @@ def t13(spark, sf_dir):
 
 def _unaccented(names: pd.Series) -> pd.Series:
     """Letters without their accents, wide forms as plain ones."""
-    return names.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
+    return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
 
 
 def analyst_id(name: Column) -> Column:
