@@ -18,6 +18,7 @@ _MODULES = (
     "operators.walk",
     "operators.patterns",
     "operators.related",
+    "operators.pagegraph",
     "operators.lookup",
     "operators.entities",
     "operators.mentions",
