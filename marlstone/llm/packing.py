@@ -18,7 +18,10 @@ result; columns beside doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -34,6 +37,8 @@ from .common import cut
 SIZE, END = 2048, 0
 #: Words a worker remembers, in each of two generations (a matter of speed alone).
 REMEMBER = 400_000
+#: New words that are encoded as one text.
+EACH = 100
 #: Rounds in which columns join the fit, and sweeps of coordinate descent in each.
 ROUNDS, SWEEPS = 12, 12
 #: Fits at most, each to what rounding left of the one before.
@@ -42,6 +47,17 @@ FITS = 4
 SHARES = (100, 90, 75, 50)
 
 
+#: How a tokenizer's file says that it lower-cases, and that runs of letters and runs of signs are pre-tokens of their own.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Ids:
     """Ids of whole texts, word by word, as in ``bpe``: columns are split and their distinct words found by Arrow."""
 
@@ -49,12 +65,29 @@ class Ids:
         self.tokenizer = Encoder.at(path).tokenizer
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        self.plain = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+        self.signs = {c: self._encoded(c) for c in ".,;:!?"} if self.plain else {}
+
+    def _encoded(self, word: str) -> bytes:
+        """Ids of a word of ASCII letters, or a sign, straight from the model: it is one pre-token that nothing changes."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words, a hundred to a text (its cost grows faster than its length), and tell their ids apart by their places."""
+        """Encode new words, a few to a text (its cost grows faster than its length), and tell their ids apart by their places."""
         young = self.young
-        for k in range(0, len(words), 10_000):
-            parts = [words[i : i + 100] for i in range(k, min(k + 10_000, len(words)), 100)]
+        if self.plain and sys.byteorder == "little":
+            rest = []
+            for word in words:
+                if word.isascii() and word.isalpha():
+                    young[word] = self._encoded(word)
+                elif (tail := self.signs.get(word[-1:])) is not None and (base := word[:-1]).isascii() and base.isalpha():
+                    young[word] = (young.get(base) or self._encoded(base)) + tail
+                else:
+                    rest.append(word)
+            words = rest
+        for k in range(0, len(words), 100 * EACH):
+            parts = [words[i : i + EACH] for i in range(k, min(k + 100 * EACH, len(words)), EACH)]
             for part, found in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
                 starts = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.offsets))
                 at = np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in part)])).tolist()
@@ -67,15 +100,13 @@ class Ids:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         young[""] = b""
-        found = [young.get(w) for w in words]
+        found = list(map(young.get, words))
         new = []
-        for k, ids in enumerate(found):
-            if ids is None:
-                word = words[k]
-                if (ids := old.get(word)) is None:
-                    new.append(k)
-                else:
-                    found[k] = young[word] = ids
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            if (ids := old.get(words[k])) is None:
+                new.append(k)
+            else:
+                found[k] = young[words[k]] = ids
         self._learn([words[k] for k in new])
         for k in new:
             found[k] = young[words[k]] if len(words[k]) <= 200 else young.pop(words[k])
@@ -89,7 +120,7 @@ class Ids:
         words = pc.utf8_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
         flat = words.flatten().dictionary_encode()
         found = self._known(flat.dictionary.to_pylist())
-        size = np.array([len(x) for x in found], np.int64) // 4
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], pa.array(np.frombuffer(b"".join(found), "<u4")))
         ids = lists.take(flat.indices).flatten().to_numpy()
         bounds = words.offsets.to_numpy()
