@@ -185,3 +185,55 @@ def f6(spark, sf_dir):
     n = F.col("doc_id")
     link = F.when(n % 2 == 0, F.concat(F.lit("[["), "supported_by", F.lit("|"), "title", F.lit("]]"))).otherwise(F.concat(F.lit("[["), "supported_by", F.lit("]]")))
     return pages(spark, sf_dir).where("supported_by is not null").select("document_id", S.relation_target(link).alias("target"))
+
+
+def _markdown(spark, sf_dir):
+    """Raw pages with their headings and links as marks of a wiki text."""
+    body = F.regexp_replace("html", r"<h([1-6])[^>]*>([^<]*)</h[1-6]>", "\n#h$1 $2\n")
+    for k in range(1, 7):
+        body = F.replace(body, F.lit(f"\n#h{k} "), F.lit("\n" + "#" * k + " "))
+    body = F.regexp_replace(body, r'<a href="/([^"<>|\[\]]*)">([^<|\[\]]*)</a>', r"[[$1|$2]]")
+    return table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
+
+
+@query("r6_outline_pages", "SELECT page_id, CAST(i - 1 AS INTEGER) AS at, CAST(regexp_extract(h[i], '^<h([1-6])', 1) AS INTEGER) AS level, regexp_extract(h[i], '>([^<]*)<', 1) AS title FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<h[1-6][^>]*>[^<]*</h[1-6]>'), lambda x: NOT regexp_matches(x, '>\\s*<')) AS h FROM pages))")
+def r6(spark, sf_dir):
+    """Headings of the raw pages, in order, with their levels."""
+    rows = _markdown(spark, sf_dir).select("page_id", F.posexplode(S.headings(F.col("body"))).alias("at", "h"))
+    return rows.select("page_id", "at", "h.level", "h.title")
+
+
+@query("r7_links_of_pages", "SELECT page_id, count(*) AS links, sha256(string_agg(regexp_extract(l, 'href=\"/([^\"]*)\"', 1) || '>' || regexp_extract(l, '>([^<]*)<', 1), ' ' ORDER BY i)) AS hash FROM (SELECT page_id, unnest(l) AS l, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"/[^\"<>|\\[\\]]*\">[^<|\\[\\]]*</a>') AS l FROM pages)) GROUP BY 1")
+def r7(spark, sf_dir):
+    """Links of the raw pages: targets and labels, in order."""
+    links = F.regexp_extract_all("body", F.lit(r"\[\[([^\]\[]+)\]\]"), 1)
+    pairs = F.transform(links, lambda x: F.replace(x, F.lit("|"), F.lit(">")))
+    rows = _markdown(spark, sf_dir).select("page_id", pairs.alias("l")).where("size(l) > 0")
+    return rows.select("page_id", F.size("l").cast("long").alias("links"), F.sha2(F.array_join("l", " "), 256).alias("hash"))
+
+
+@query("d3_order_paths", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN strftime(d, '%Y-%m') || '-01' ELSE strftime(d, '%Y-%m-%d') END AS date, CASE o_orderkey % 3 WHEN 0 THEN 'filename' WHEN 1 THEN 'directory' ELSE 'month-directory' END AS source FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 28 YEAR AS DATE) AS d FROM orders)")
+def d3(spark, sf_dir):
+    """Days of orders (of this century) read from paths: in the name, in a directory, or only the month."""
+    k = F.col("o_orderkey")
+    day = F.add_months(F.col("o_orderdate").cast("date"), 12 * 28)
+    said, month = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM")
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    path = F.when(k % 3 == 0, say("reports/", month, "/", said, "_order", k.cast("string"), ".pdf")).when(k % 3 == 1, say("reports/", F.date_format(day, "yyyy-MM-dd"), "/order", k.cast("string"), ".pdf")).otherwise(say("reports/", month, "/order.pdf"))
+    date, source = S.report_date(path, month)
+    return table(spark, sf_dir, "orders").select("o_orderkey", date.alias("date"), source.alias("source"))
+
+
+_SNIP = "replace(html, chr(13), '')"
+for _pattern, _by in (
+    (r"!\[[^\]]*\]\([^)]*\)", ""), (r"(?i)<img[^>]*>", ""), (r"(?s)\$\$.*?\$\$", " [公式] "), (r"\$\$", " "), (r"(?m)^[^\n]*(\\[a-zA-Z]+\s*[{(]|_ \{|\^ \{)[^\n]*$", "[公式]"), (r"(\[公式\]\s*){2,}", "[公式] "),
+    (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*\*|__", ""), (r"[ \t]+", " "), (r"\n{2,}", "\n"),
+):
+    _SNIP = f"regexp_replace({_SNIP}, '{_pattern}', '{_by}', 'g')"
+_SNIP = f"regexp_replace({_SNIP}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("f16_snippet_pages", f"SELECT page_id, CASE WHEN length(s) <= 700 THEN s ELSE substr(s, 1, 700) || ' …' END AS snippet FROM (SELECT page_id, {_SNIP} AS s FROM pages)")
+def f16(spark, sf_dir):
+    """Raw pages as snippets for reading: what looks like formulas is one word, marks and repeated blanks are gone."""
+    return table(spark, sf_dir, "pages").select("page_id", S.trimmed_snippet(F.col("html")).alias("snippet"))

@@ -14,6 +14,8 @@ import json
 import threading
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,14 +138,14 @@ class Service:
         opened = self._opened(args["cursor"], request) if args.get("cursor") is not None else {"snapshot": self._current(), "place": None, "total": None}
         self.snapshot, self.place, self.total = opened["snapshot"], opened["place"], opened["total"]
         self.docs = self.snapshots.catalogue(self.snapshot)
-        found = getattr(self, operation)(args, limit)
+        with self._limited(timeout if "timeout_ms" in args else None):
+            found, coverage = getattr(self, operation)(args, limit), self._coverage(args)
         rows, more = found.pop("results")
         results, over = within_budget(rows, tokens)
         more = more or over
         place = found.pop("place", lambda row, n: (self.place or 0) + n)
         total = found.pop("total", None)
         degraded = found.pop("degraded", [])
-        coverage = self._coverage(args)
         if not coverage["complete"]:
             degraded = [{"stage": "catalog", "reason": "index_incomplete"}, *degraded]
         expires = self.clock() + TTL
@@ -162,11 +164,39 @@ class Service:
             "schema_version": 1,
             "request_id": uuid.uuid4().hex,
             "latency_ms": round(1000 * (time.time() - began)),
-            "within_timeout": 1000 * (time.time() - began) <= timeout,
             **({"total": total} if total is not None else {}),
             **found,
         }
 
+    @contextmanager
+    def _limited(self, timeout: int | None) -> Iterator[None]:
+        """Cancels the jobs of what runs inside after timeout milliseconds; their failure is then TIMEOUT."""
+        if timeout is None:
+            yield
+            return
+        context, tag, late = self.spark.sparkContext, f"service-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(timeout / 1000, stop)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            yield
+        except InvalidArgument:
+            raise
+        except Exception as error:
+            if late.is_set():
+                raise InvalidArgument("TIMEOUT") from error
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+        if late.is_set():
+            raise InvalidArgument("TIMEOUT")
+
     @staticmethod
     def _integer(args: dict, name: str, default: int, low: int, high: int) -> int:
         value = args.get(name, default)

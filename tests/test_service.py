@@ -81,6 +81,13 @@ def test_degraded_and_empty(service):
     assert service.execute("search", query="zzzzqqq")["empty_reason"] == "retrieval_incomplete"
 
 
+def test_timeout(service):
+    """A time that is given holds: jobs that take longer are cancelled."""
+    assert refused(service, "graph", group_by="entity", timeout_ms=100) == "TIMEOUT"
+    assert service.execute("query", limit=1, timeout_ms=60_000)["returned_count"] == 1
+    assert refused(service, "query", timeout_ms=99) == "INVALID_ARGUMENT"
+
+
 def test_direction_types_and_days(service):
     walk = lambda **a: {(r["source"], r["target"]) for r in service.execute("related", id="doc:18", depth=2, **a)["results"]}
     assert walk(direction="outgoing") == {("doc:18", "doc:2")} and ("doc:18", "doc:2") not in walk(direction="incoming")
