@@ -60,6 +60,9 @@ def fold(text: str) -> set[str]:
 
 def plain(word: str) -> list[str]:
     """A word with signs as letters and nothing but letters, in windows if it is long."""
+    bare = word.strip(".,;:?\"'()|-")  # none of these stands for a letter
+    if bare.isascii() and bare.isalpha() and len(bare) <= WIDTH:  # most words
+        return [bare]
     word = "".join(c for c in word.translate(_SIGNS) if c.isalpha())
     return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - STEP, STEP)]
 
