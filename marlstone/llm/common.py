@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 U = np.uint64
+#: What small_batches found, and an entry for each thread within it.
+_INSIDE: list[str] = []
+_LOCK = threading.Lock()
 #: Folders of the tables that cut wrote and that are still referred to.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -35,14 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of at most size bytes for what runs inside: ten thousand long texts at once fill a worker's memory."""
+    """Arrow batches of at most size bytes for what runs inside: ten thousand long texts at once fill a worker's memory. Of several
+    threads the first sets it, and the last sets back what the first found."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    with _LOCK:
+        if not _INSIDE:
+            _INSIDE.append(spark.conf.get(key))
+        _INSIDE.append("")
+        spark.conf.set(key, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _LOCK:
+            _INSIDE.pop()
+            if len(_INSIDE) == 1:
+                spark.conf.set(key, _INSIDE.pop())
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
