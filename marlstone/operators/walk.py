@@ -81,7 +81,7 @@ def walk(graph: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 10
 def links(spark, sf_dir) -> DataFrame:
     """The link table: orders and their parts, each link once, with where it is declared."""
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("has").alias("type")).distinct()
-    return rows.withColumn("provenance", F.lit("lineitem"))
+    return _kept(rows.withColumn("provenance", F.lit("lineitem")), "links")  # every level reads it, from both ends
 
 
 _LINKS = "links AS (SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem)"
