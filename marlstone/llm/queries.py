@@ -139,8 +139,8 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 
 #: Every window of fifty bytes with the smallest document that has it; windows of later documents, in runs, cut out.
 OP6 = """
-WITH b AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
-win AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(greatest(0, length(x) // 2 - 49))) AS i FROM b)),
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS y, hex(coalesce(text, '')) AS x FROM documents),
+win AS (SELECT doc_id, i, y[i + 1 : i + 50] AS s FROM (SELECT doc_id, y, unnest(range(greatest(0, octet_length(y) - 49))) AS i FROM b)),
 least_ AS (SELECT s, min(doc_id) AS m FROM win GROUP BY 1),
 late AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM win JOIN least_ USING (s) WHERE doc_id > m),
 spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM late) GROUP BY doc_id, g),
