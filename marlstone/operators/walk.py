@@ -52,8 +52,9 @@ def walk(graph: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 10
         near = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         near = near.where(_valid(F.col("day"))) if dated else near
         near = near.select("seed", *EDGE).distinct() if len(parts) > 1 or level > 1 else near.select("seed", *EDGE)
+        # A seed with more edges than it may take keeps one that is not taken yet: its row tells so.
         asked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_edges + 1)
-        asked = _kept(asked, "asked")
+        asked = asked.withColumn("many", F.max("k").over(Window.partitionBy("seed")) > max_edges)
         fresh = asked if taken is None else asked.join(taken.select("seed", *EDGE), ["seed", *EDGE], "left_anti")
         placed = _kept(fresh.withColumn("rn", F.row_number().over(Window.partitionBy("seed").orderBy("k"))), "placed")
         ends = placed.select("seed", "rn", F.explode(F.array("source", "target")).alias("node")).join(visited, ["seed", "node"], "left_anti")
@@ -64,9 +65,8 @@ def walk(graph: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 10
         fits = (F.col("taken") + F.col("rn") <= max_edges) & (F.col("seen") + F.col("sum") <= max_nodes)
         judged = _kept(sums.withColumn("fits", fits), "judged")
         accepted = judged.where("fits")
-        many = asked.groupBy("seed").agg((F.max("k") > max_edges).alias("many"))
-        told = judged.groupBy("seed").agg(F.count_if("fits").alias("more"), F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))), F.lit(0)).alias("nodes"), F.bool_or(~F.col("fits")).alias("cut"))
-        state = state.join(told, "seed", "left").join(many, "seed", "left")
+        told = judged.groupBy("seed").agg(F.bool_or("many").alias("many"), F.count_if("fits").alias("more"), F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))), F.lit(0)).alias("nodes"), F.bool_or(~F.col("fits")).alias("cut"))
+        state = state.join(told, "seed", "left")
         state = state.select("seed", (F.col("stopped") | F.coalesce("cut", F.lit(False)) | F.coalesce("many", F.lit(False))).alias("stopped"), (F.col("taken") + F.coalesce("more", F.lit(0))).cast("int").alias("taken"), (F.col("seen") + F.coalesce("nodes", F.lit(0))).cast("int").alias("seen"))
         state = _kept(state, "state")
         got = accepted.select("seed", F.lit(level).alias("level"), *EDGE)

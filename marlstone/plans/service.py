@@ -137,7 +137,7 @@ class Service:
         began, request = time.time(), {"operation": operation} | {k: v for k, v in args.items() if k not in FREE}
         opened = self._opened(args["cursor"], request) if args.get("cursor") is not None else {"snapshot": self._current(), "place": None, "total": None}
         self.snapshot, self.place, self.total = opened["snapshot"], opened["place"], opened["total"]
-        self.docs = self.snapshots.catalogue(self.snapshot)
+        self.docs = self.snapshots.catalogue(self.snapshot, [self.snapshot])  # found a moment ago
         with self._limited(timeout if "timeout_ms" in args else None):
             found, coverage = getattr(self, operation)(args, limit), self._coverage(args)
         rows, more = found.pop("results")

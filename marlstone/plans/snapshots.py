@@ -55,8 +55,9 @@ class Snapshots:
             remove(self.spark, f"{self.root}/snapshot-{old}")
         return number
 
-    def catalogue(self, number: int) -> DataFrame:
-        if number not in self.generations():
+    def catalogue(self, number: int, known: list[int] | None = None) -> DataFrame:
+        """Entries of a generation; known: those that can be read, if the caller has just asked."""
+        if number not in (self.generations() if known is None else known):
             raise InvalidArgument("CURSOR_EXPIRED")
         return self.spark.read.parquet(f"{self.root}/snapshot-{number}")
 
