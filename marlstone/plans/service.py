@@ -50,6 +50,8 @@ SORTS = ("title", *[f for f, kind in METADATA.items() if kind == "date"])
 #: Arguments that may change from page to page, and seconds that a cursor lives.
 FREE, TTL = {"cursor", "limit", "max_response_tokens", "timeout_ms"}, 600
 DOCUMENT_RELATIONS = ("supported_by",)
+#: What of a document may be shown beside its metadata.
+IDENTITY = {"slug", "revision_id", "family_id"}
 #: Of each session and corpus: the folder of its snapshots, and what the files of its documents looked like when it was published.
 _ROOTS: dict[str, list] = {}
 _LOCK = threading.Lock()
@@ -157,14 +159,14 @@ class Service:
             "next_cursor": base64.urlsafe_b64encode(json.dumps(body).encode()).decode() if more and results else None,
             "cursor_expires_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(expires)),
             "budget": {"max_response_tokens": tokens, "cut": over, "method": "2_characters_per_token_estimate"},
-            "snapshot_id": self.snapshot,
+            "snapshot_id": str(self.snapshot),
             "coverage": coverage,
             "degraded": degraded,
             "query_plan": {"operation": operation, "filters": args.get("filters"), "missing_values": "excluded_from_positive_filters"} | found.pop("plan", {}),
             "schema_version": 1,
             "request_id": uuid.uuid4().hex,
             "latency_ms": round(1000 * (time.time() - began)),
-            **({"total": total} if total is not None else {}),
+            **({"total": total, "total_count": total} if total is not None else {}),
             **found,
         }
 
@@ -246,7 +248,7 @@ class Service:
                 counts.pop(next(iter(counts)))
             counts[key] = self._scope(args).count()
         complete = self._kept[1] == retrieval._files(self.spark, f"{self.sf_dir}/documents.parquet")
-        return {"documents": counts[key], "complete": complete, "snapshot_id": self.snapshot}
+        return {"documents": counts[key], "complete": complete, "snapshot_id": str(self.snapshot)}
 
     def _page(self, rows: DataFrame, limit: int) -> tuple[list[dict], bool]:
         """One page of ordered rows, by offset, and whether there are more."""
@@ -298,7 +300,7 @@ class Service:
             return {"results": self._page(rows, limit)}
         sort, down = self._one_of(args, "sort", "published_at", SORTS), self._one_of(args, "direction", "desc", ("asc", "desc")) == "desc"
         fields = list(dict.fromkeys(["document_id", "title", sort, *args.get("fields", [])]))
-        if unknown := set(fields) - set(FIELDS):
+        if unknown := set(fields) - set(FIELDS) - IDENTITY:
             raise InvalidArgument(f"INVALID_ARGUMENT: {sorted(unknown)}")
         total = self.total if self.total is not None else docs.count() if args.get("q") is not None else self._coverage(args)["documents"]
         page = docs if self.place is None else docs.where(after(sort, down, self.place[0], self.place[1]))
@@ -370,8 +372,11 @@ class Service:
         out["plan"] = {"mode": mode, "candidate_limit": CANDIDATES[mode], "lexical_match": how, "matched_documents": found.total, "candidate_truncated": found.total > CANDIDATES[mode], "score": "RRF_not_probability"}
         scoped = self._coverage(args)["documents"]
         out["empty_reason"] = None if results else "no_documents_match_filters" if not scoped else "retrieval_incomplete" if degraded else "no_match_in_searched_text"
+        expected = args.get("expected_id")
+        if expected is not None:
+            passes = docs.where(F.col("document_id") == expected).limit(1).count() > 0
+            out["expected"] = {"passes_filters": passes, "shortlisted": expected in {i for i, _ in found.top()}}
         if args.get("explain"):
-            expected = args.get("expected_id")
             near = expected is not None and any(name == "vector" and rows.where(F.col("document_id") == expected).limit(1).count() for name, rows in channels)
             out["plan"] |= {"timings": times | {"total_ms": round(1000 * (time.time() - began))}, "lexical_candidates": len(found.top())}
             if expected is not None:
