@@ -44,7 +44,7 @@ class Snapshots:
         log = self._table("log")
         every = [] if log is None else sorted(r["snapshot_id"] for r in log.collect())
         number = (every[-1] if every else 0) + 1
-        entries.repartition(max(1, min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), "document_id").sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{self.root}/snapshot-{number}")
+        entries.repartition("document_id").sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{self.root}/snapshot-{number}")
         kept = self._table("revisions")
         new = texts if kept is None else texts.join(kept.select("document_id", "revision_id"), ["document_id", "revision_id"], "left_anti")
         blocks = split(new).withColumn("block_id", F.concat("revision_id", F.lit(":"), "ordinal"))
