@@ -73,6 +73,7 @@ class Projection:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._log: list[tuple[int, int, bool]] | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, root: str) -> "Projection":
@@ -82,9 +83,12 @@ class Projection:
         made._commit(0, 0, False)
         return made
 
-    def log(self) -> list[tuple[int, int, bool]]:
-        """Refreshes and compactions that count, in order: number, documents, whether it merged all before."""
-        return sorted(tuple(r) for r in self.spark.read.schema(_LOG).parquet(f"{self.root}/log").collect())
+    def log(self, fresh: bool = False) -> list[tuple[int, int, bool]]:
+        """Refreshes and compactions that count, in order: number, documents, whether it merged all before. Kept until this object adds
+        to it, or it is asked for anew."""
+        if fresh or self._log is None:
+            self._log = sorted(tuple(r) for r in self.spark.read.schema(_LOG).parquet(f"{self.root}/log").collect())
+        return self._log
 
     @staticmethod
     def live(log: list[tuple[int, int, bool]]) -> list[int]:
@@ -104,7 +108,7 @@ class Projection:
     def refresh(self, docs: DataFrame) -> dict[str, int]:
         """Bring the projection to docs (document_id, revision_id, text, and what the header takes): counts of tokenised and removed
         documents. Unchanged ones are compared by revision and not read further."""
-        log = self.log()
+        log = self.log(fresh=True)
         seq = max(s for s, *_ in log) + 1
         held = self.current(log)
         both = docs.select("document_id", "revision_id").join(held.toDF("document_id", "_held", "was"), "document_id", "full_outer")
@@ -128,6 +132,7 @@ class Projection:
 
     def _commit(self, seq: int, documents: int, merged: bool) -> None:
         self.spark.createDataFrame([(seq, documents, merged)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        self._log = None
 
     def _spread(self) -> int:
         return max(SPREAD, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
@@ -176,7 +181,7 @@ class Projection:
 
     def compact(self) -> None:
         """All live rows as one segment."""
-        log = self.log()
+        log = self.log(fresh=True)
         seq = max(s for s, *_ in log) + 1
         n = self.current(log).count()
         self._write_blocks(seq, self._rows("blocks", log))
