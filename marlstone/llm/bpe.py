@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 LONG, PIECE = 65_536, 32_768
 #: Words a worker remembers; beyond it the memory starts anew (a matter of speed alone).
 REMEMBER = 200_000
+#: New words that are encoded as one text.
+EACH = 100
 #: White space for Python's split that is none for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -53,14 +55,16 @@ class Encoder:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words in one go, a blank between them, and tell their ids apart by their places."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
-        at = np.searchsorted(starts, begin).tolist()
-        packed, tokens = np.array(found.ids, "<u4").tobytes(), found.tokens
-        for word, a, b in zip(words, at, at[1:]):
-            self.young[word] = (packed[4 * a : 4 * b], " ".join(tokens[a:b]))
+        """Encode new words, a hundred to a text with blanks between them (a text's cost grows faster than its length), and tell their
+        ids apart by their places."""
+        for k in range(0, len(words), 100 * EACH):
+            parts = [words[i : i + EACH] for i in range(k, min(k + 100 * EACH, len(words)), EACH)]
+            for part, found in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+                starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+                at = np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in part)])).tolist()
+                packed, tokens = np.array(found.ids, "<u4").tobytes(), found.tokens
+                for word, a, b in zip(part, at, at[1:]):
+                    self.young[word] = (packed[4 * a : 4 * b], " ".join(tokens[a:b]))
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian words of 32 bits, and the decoded text."""
