@@ -123,3 +123,15 @@ def test_pages_are_of_one_snapshot_and_old_revisions_stay(spark, corpus):
     service.publish()
     service.publish()  # the first generation is gone
     assert refused(service, "query", limit=100, sort="title", direction="asc", cursor=first["next_cursor"]) == "CURSOR_EXPIRED"
+
+
+def test_many_matches_are_counted_and_paged(spark, tmp_path):
+    """A name that more than ten thousand documents hold gives a page of them and their number."""
+    for name in ("supplier", "region"):
+        shutil.copy(f"{SOURCE}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.range(11_500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = Service(spark, str(tmp_path), str(tmp_path / "service")).execute("resolve", q="Report", limit=3)
+    live = docs.where("doc_id % 11 <> 0").count()
+    assert found["total"] == live > 10_000 and found["ambiguous"] and found["truncated"]
+    assert [r["document_id"] for r in found["results"]] == ["doc:1", "doc:10", "doc:100"]
