@@ -317,15 +317,11 @@ class Service:
             found = self._search(args)
             return found | {"results": self._sliced(found["results"], limit)}
         # The scope of a confirmed entity first, with what was asked; then the name itself, as leads that need evidence.
-        name = self._text(args, "entity_name", 500)
-        candidates = find(name, self.registry, self.spark.createDataFrame([], "entity_id string, documents long"), self.spark.createDataFrame([], "type string, alias string, entity_id string"), args.get("entity_type"))
-        candidates = [r.asDict() for r in candidates.limit(21).collect()]
-        exact = [c for c in candidates if c["exact"]]
-        confirmed = exact[0]["entity_id"] if len(candidates) == 1 and len(exact) == 1 else None
+        name, candidates, confirmed = self._named(args)
         lead = args | {"query": name, "mode": "lexical", "query_vector": None}
         batches = []
         if confirmed:
-            batches.append((self._search(args | {"filters": combine(args.get("filters"), {"field": "entity_ids", "op": "contains_all", "value": [confirmed]})}), "confirmed_membership", "confirmed_entity_scope"))
+            batches.append((self._search(args | {"filters": self._of(confirmed, args)}), "confirmed_membership", "confirmed_entity_scope"))
         batches.append((self._search(lead), "needs_evidence", "raw_name_fallback"))
         results, seen = [], {}
         for found, identity, route in batches:
@@ -339,6 +335,30 @@ class Service:
         status = "resolved" if confirmed else "unresolved_or_ambiguous"
         return first | {"results": self._sliced(results, limit), "degraded": degraded, "entity_retrieval": {"name": name, "entity_id": confirmed, "status": status, "candidates": candidates[:20], "candidates_truncated": len(candidates) > 20}}
 
+    def _named(self, args: dict) -> tuple[str, list[dict], str | None]:
+        """The name that is asked for, the entities that may be meant (21 at most), and the one that is, if there is no other."""
+        name = self._text(args, "entity_name", 500)
+        candidates = find(name, self.registry, self.spark.createDataFrame([], "entity_id string, documents long"), self.spark.createDataFrame([], "type string, alias string, entity_id string"), args.get("entity_type"))
+        candidates = [r.asDict() for r in candidates.limit(21).collect()]
+        exact = [c for c in candidates if c["exact"]]
+        return name, candidates, exact[0]["entity_id"] if len(candidates) == 1 and len(exact) == 1 else None
+
+    @staticmethod
+    def _of(entity: str, args: dict) -> dict:
+        return combine(args.get("filters"), {"field": "entity_ids", "op": "contains_all", "value": [entity]})
+
+    def matching(self, **args) -> DataFrame:
+        """document_id, identity_status of every document of a confirmed entity that a lexical search (query, entity_name, entity_type,
+        filters) matches: a plan over the postings, where ``search`` shows pages of a bounded shortlist. Without such an entity, none."""
+        if args.get("filters") is not None:
+            validate(args["filters"])
+        self.snapshot = self._current()
+        self.docs = self.snapshots.catalogue(self.snapshot, [self.snapshot])
+        *_, confirmed = self._named(args)
+        scope = self._scope({"filters": self._of(confirmed, args)}) if confirmed else self.docs.limit(0)
+        found, _ = lexical(self.spark, self.sf_dir, self._text(args, "query"), None, None, scope)
+        return found.matched.select("document_id", F.lit("confirmed_membership").alias("identity_status"))
+
     def _search(self, args: dict) -> dict:
         q, mode, began = args["query"], args.get("mode") or "hybrid", time.time()
         group, most = {"document": ("document_id", 1), "document_family": ("family_id", 1), "passage": ("document_id", 3)}[args.get("group_by") or "document"]
@@ -561,10 +581,8 @@ def search_hybrid(spark, sf_dir):
 
 @query("svc_search_entity", MODEL + "SELECT document_id, 'confirmed_membership' AS identity_status FROM pages_ WHERE NOT deleted AND lang = 'en' AND document_id IN (SELECT document_id FROM resolved_ WHERE entity_id = 'entity:company:4') AND len(flatten(list_transform(range(CAST(ceil(length(text) / 1800.0) AS BIGINT)), lambda k: list_filter(regexp_extract_all(lower(substr(text, CAST(1800 * k + 1 AS BIGINT), 1800)), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x = 'the')))) > 0")
 def search_entity(spark, sf_dir):
-    """A search about a company: what is asked within its documents, whatever their number is below the page's limit."""
-    found = Service(spark, sf_dir).execute("search", query="the", mode="lexical", entity_name="Supplier#000000004", entity_type="company", filters={"field": "lang", "op": "eq", "value": "en"}, limit=100, max_response_tokens=32_000)
-    rows = [r for r in found["results"] if r["identity_status"] == "confirmed_membership"]
-    return _rows(spark, rows, "document_id string, identity_status string")
+    """A search about a company: what is asked within its documents, all of them, however many the company has."""
+    return Service(spark, sf_dir).matching(query="the", entity_name="Supplier#000000004", entity_type="company", filters={"field": "lang", "op": "eq", "value": "en"})
 
 
 @query("svc_related_direction", f"{P}, e AS (SELECT a.document_id AS source, b.document_id AS target FROM pages_ a JOIN pages_ b ON b.slug = a.supported_by WHERE NOT a.deleted AND NOT b.deleted), o AS (SELECT * FROM e WHERE source = 'doc:162'), i AS (SELECT * FROM e WHERE target = 'doc:2') SELECT 'outgoing' AS direction, * FROM (SELECT * FROM o UNION SELECT e.* FROM e JOIN o ON e.source = o.target) UNION ALL SELECT 'incoming', * FROM (SELECT * FROM i UNION SELECT e.* FROM e JOIN i ON e.target = i.source)")

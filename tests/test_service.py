@@ -135,3 +135,21 @@ def test_many_matches_are_counted_and_paged(spark, tmp_path):
     live = docs.where("doc_id % 11 <> 0").count()
     assert found["total"] == live > 10_000 and found["ambiguous"] and found["truncated"]
     assert [r["document_id"] for r in found["results"]] == ["doc:1", "doc:10", "doc:100"]
+
+
+def test_all_documents_of_an_entity_that_match(spark, tmp_path):
+    """More of them than a shortlist (120) holds; the search shows a page of the same documents."""
+    for name in ("supplier", "region"):
+        shutil.copy(f"{SOURCE}/{name}.parquet", tmp_path / f"{name}.parquet")
+    n = F.col("id") * 30 + 3  # documents that name the company of the search
+    text = F.when(F.col("id") % 2 == 0, "Of the one").otherwise("of another")
+    docs = spark.range(320).select(n.alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(10).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    service = Service(spark, str(tmp_path), str(tmp_path / "service"))
+    args = {"query": "the", "entity_name": "Supplier#000000004", "entity_type": "company"}
+    every = {r["document_id"] for r in service.matching(**args).collect()}
+    assert every == {f"doc:{30 * k + 3}" for k in range(0, 320, 2) if (30 * k + 3) % 11} and len(every) > 120
+    shown = service.execute("search", mode="lexical", group_by="passage", limit=100, max_response_tokens=32_000, **args)
+    confirmed = {r["document_id"] for r in shown["results"] if r["identity_status"] == "confirmed_membership"}
+    assert confirmed and confirmed <= every
+    assert service.matching(**args | {"entity_name": "Acme 3"}).isEmpty()
