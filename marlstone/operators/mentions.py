@@ -45,23 +45,26 @@ def observed(kind: Column, norm: Column) -> Column:
     return F.concat(F.lit("entity:observed:"), F.substring(F.sha2(F.concat(kind, F.lit(":"), norm), 256), 1, 24))
 
 
+def answers(asked: DataFrame, registry_: DataFrame) -> DataFrame:
+    """type, norm, status, entity_id of each name asked (type, norm, each once). One id: curated; several: ambiguous and no entity;
+    none: a company written "name (code)" is the issuer that both the name and the security's code lead to, if there is one; else
+    observed. Of the ids that go by a name only their number and the smallest are kept: a shared alias may have thousands."""
+    known = registry_.select("entity_id", "issuer_id", "type", F.explode(F.concat(F.array("name"), "aliases")).alias("alias")).select("entity_id", "issuer_id", "type", normal(F.col("alias")).alias("norm"))
+    single = known.groupBy("type", "norm").agg(F.min("entity_id").alias("one"), (F.min("entity_id") < F.max("entity_id")).alias("several"))
+    pairs = asked.where("type = 'company'").where(F.col("norm").rlike(_PAIR)).select("norm", F.trim(F.regexp_extract("norm", _PAIR, 1)).alias("base"), F.trim(F.regexp_extract("norm", _PAIR, 2)).alias("code"))
+    issuers = known.where("type = 'security'").select(F.col("norm").alias("code"), "issuer_id").distinct()
+    names = known.where("type = 'company'").select(F.col("norm").alias("base"), F.col("entity_id").alias("issuer_id")).distinct()
+    agreed = pairs.join(issuers, "code").join(names, ["base", "issuer_id"]).groupBy("norm").agg(F.min("issuer_id").alias("pair"), F.max("issuer_id").alias("_last")).where("pair = _last")
+    joined = asked.join(single, ["type", "norm"], "left").join(agreed.select(F.lit("company").alias("type"), "norm", "pair"), ["type", "norm"], "left")
+    status = F.when(F.col("several"), "ambiguous").when(F.coalesce("one", "pair").isNotNull(), "curated").otherwise("observed")
+    entity = F.when(F.col("several"), F.lit(None).cast("string")).otherwise(F.coalesce("one", "pair", observed(F.col("type"), F.col("norm"))))
+    return joined.select("type", "norm", status.alias("status"), entity.alias("entity_id"))
+
+
 def resolved(found: DataFrame, registry_: DataFrame) -> DataFrame:
-    """found with ids, status, entity_id. One id: curated; several: ambiguous and no entity; none: a company written "name
-    (code)" is the issuer that both the name and the security's code lead to, if there is one; else observed."""
-    known = aliases(registry_)
+    """found with status and entity_id. Each distinct name is resolved once and its answer, two short columns, joined to its mentions."""
     asked = found.select("type", "norm").distinct()
-    pairs = asked.where("type = 'company'").where(F.col("norm").rlike(_PAIR)).select("norm", F.trim(F.regexp_extract("norm", _PAIR, 1)).alias("base"), F.trim(F.regexp_extract("norm", _PAIR, 2)).alias("code"))
-    codes = known.where("type = 'security'").select(F.col("norm").alias("code"), F.explode("ids").alias("entity_id"))
-    issuers = codes.join(registry_.select("entity_id", "issuer_id"), "entity_id").select("code", "issuer_id")
-    names = known.where("type = 'company'").select(F.col("norm").alias("base"), F.explode("ids").alias("issuer_id"))
-    agreed = pairs.join(issuers, "code").join(names, ["base", "issuer_id"]).groupBy("norm").agg(F.countDistinct("issuer_id").alias("n"), F.min("issuer_id").alias("pair")).where("n = 1")
-    agreed = agreed.select(F.lit("company").alias("type"), "norm", "pair")
-    joined = found.join(known, ["type", "norm"], "left").join(agreed, ["type", "norm"], "left")
-    n = F.coalesce(F.size("ids"), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
-    status = F.when(n > 1, "ambiguous").when((n == 1) | F.col("pair").isNotNull(), "curated").otherwise("observed")
-    entity = F.when(n == 1, F.col("ids")[0]).when(n > 1, F.lit(None).cast("string")).otherwise(F.coalesce("pair", observed(F.col("type"), F.col("norm"))))
-    return joined.withColumn("status", status).withColumn("entity_id", entity).drop("pair")
+    return found.join(answers(asked, registry_), ["type", "norm"], "left")
 
 
 def _resolved(spark, sf_dir) -> DataFrame:

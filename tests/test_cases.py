@@ -8,6 +8,7 @@ from marlstone.functions.text import blocks, query_terms
 from marlstone.operators.cleanup import schema_array, schema_date, title_category
 from marlstone.operators.etl import html_text_of
 from marlstone.operators.filters import InvalidArgument, validate
+from marlstone.operators.mentions import resolved
 
 
 def one(spark, column):
@@ -75,3 +76,17 @@ def test_refused_filters(node):
 def test_html_text(spark, html, text):
     """References end with a semicolon; one that was cut stays, and so does what stands last."""
     assert one(spark, html_text_of(F.lit(html).cast("string"))) == text
+
+
+def test_names_are_resolved_without_their_lists(spark):
+    """However many entities share an alias, no list of them goes with a mention."""
+    known = "entity_id string, type string, name string, aliases array<string>, market string, code string, issuer_id string"
+    rows = [(f"entity:company:{k}", "company", f"Firm {k}", ["Shared"], None, None, None) for k in range(500)]
+    registry_ = spark.createDataFrame([*rows, ("entity:security:7", "security", "Firm 7 Ord", ["HK:7"], "HK", "7", "entity:company:7")], known)
+    names = ["shared", "firm 3", "firm 7 (hk:7)", "firm 3 (hk:7)", "nobody"]
+    found = spark.createDataFrame([(f"doc:{k}", "company", x) for k, x in enumerate(names * 20)], "document_id string, type string, norm string")
+    out = resolved(found, registry_)
+    assert out.columns == ["type", "norm", "document_id", "status", "entity_id"] and out.count() == 100
+    got = {r["norm"]: (r["status"], r["entity_id"]) for r in out.collect()}
+    assert got["shared"] == ("ambiguous", None) and got["firm 3"] == ("curated", "entity:company:3") and got["firm 7 (hk:7)"] == ("curated", "entity:company:7")
+    assert got["firm 3 (hk:7)"][0] == got["nobody"][0] == "observed"
