@@ -573,11 +573,17 @@ def o7(spark, sf_dir):
     return some.agg(F.lit(more).alias("truncated"), F.count("*").cast("int").alias("returned"), F.lit(refused).alias("refused"))
 
 
-@query("o9_collated", "SELECT name, row_number() OVER (ORDER BY name) AS place FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)")
+_SPELT = ("zebra", "Äpfel", "apfel", "Zoo", "北京", "上海", "广州")
+
+
+@query("o9_collated", f"{P} SELECT name, row_number() OVER (ORDER BY name COLLATE zh, name) AS place FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT unnest(tags) FROM pages_ UNION SELECT unnest({list(_SPELT)}))")
 def o9(spark, sf_dir):
-    """Names in the order of a Chinese reader (pinyin, and letters as everywhere): the collation is Spark's. A list of names is short."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf_dir, "region").select("r_name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(F.collate("name", "zh"))).cast("long").alias("place"))
+    """Names in the order of a Chinese reader (pinyin, and letters as everywhere): the collation is Spark's. Tags of all pages, nations,
+    regions, and names of mixed scripts; their list is short, as each name is taken once."""
+    spelt = spark.createDataFrame([(x,) for x in _SPELT], "name string")
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf_dir, "region").select("r_name"))
+    names = names.union(pages(spark, sf_dir).select(F.explode("tags"))).union(spelt).distinct()
+    return names.select("name", F.row_number().over(Window.orderBy(F.collate("name", "zh"), "name")).cast("long").alias("place"))
 
 
 @query("o11_top_per_group", f"{P} SELECT grp, tag, n FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, tag) AS k FROM (SELECT split_part(tag, ':', 1) AS grp, tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pages_) GROUP BY 1, 2)) WHERE k <= 6")

@@ -90,3 +90,14 @@ def test_names_are_resolved_without_their_lists(spark):
     got = {r["norm"]: (r["status"], r["entity_id"]) for r in out.collect()}
     assert got["shared"] == ("ambiguous", None) and got["firm 3"] == ("curated", "entity:company:3") and got["firm 7 (hk:7)"] == ("curated", "entity:company:7")
     assert got["firm 3 (hk:7)"][0] == got["nobody"][0] == "observed"
+
+
+def test_names_of_mixed_scripts_are_collated(spark):
+    """Han names by pinyin before Latin ones, umlauts beside their letters, among the tags of all pages."""
+    from marlstone.operators.pages import QUERIES
+
+    rows = QUERIES["o9_collated"](spark, "/root/testdata/sf0.001").orderBy("place").collect()
+    names = [r["name"] for r in rows]
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [x for x in names if x in {"zebra", "Äpfel", "apfel", "Zoo", "北京", "上海", "广州"}] == ["北京", "广州", "上海", "apfel", "Äpfel", "zebra", "Zoo"]
+    assert any(x.startswith("公司:") for x in names) and "lang:en" in names and len(names) > 37
