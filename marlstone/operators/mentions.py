@@ -3,6 +3,8 @@ a master list, reviews, business relations. An identity is never guessed: what s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -484,10 +486,17 @@ def e10(spark, sf_dir):
 
 def packets(found: DataFrame, docs: DataFrame, context: DataFrame, names: int = 3, most: int = 40, chars: int = 700) -> DataFrame:
     """For each open name, up to three documents (one of each family, smallest first) and the blocks of these that hold it or
-    stand first, each cut around the name. Aggregated by window, no query per name."""
+    stand first, each cut around the name. Aggregated by window, no query per name. The sample is written first, so that Spark
+    knows its size and meets it with the documents before their texts are split: other texts are neither split nor moved."""
+    from .retrieval import scratch
+
     open_ = found.where("status <> 'curated'").select("type", "norm", "document_id").distinct().join(docs.select("document_id", "doc_id", "family_id"), "document_id")
     sample = first_per(first_per(open_, ["type", "norm", "family_id"], ["doc_id"]), ["type", "norm"], ["doc_id"], names)
-    held = sample.join(context.select("document_id", "ordinal", "text"), "document_id").withColumn("at", F.expr("locate(norm, lower(text))"))
+    path = f"{scratch(found.sparkSession)}/packets-{uuid.uuid4().hex}"
+    sample.write.parquet(path)
+    sample = found.sparkSession.read.schema(sample.schema).parquet(path)
+    texts = context.join(sample.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "ordinal", "text")
+    held = sample.join(texts, "document_id").withColumn("at", F.expr("locate(norm, lower(text))"))
     kept = first_per(held, ["type", "norm", "document_id"], [F.desc(F.col("at") > 0), "ordinal"], most)
     return kept.select("type", "norm", "document_id", "ordinal", F.expr(f"substring(text, greatest(1, at - 200), {chars})").alias("excerpt"))
 

@@ -8,7 +8,7 @@ from marlstone.functions.text import blocks, query_terms
 from marlstone.operators.cleanup import schema_array, schema_date, title_category
 from marlstone.operators.etl import html_text_of
 from marlstone.operators.filters import InvalidArgument, validate
-from marlstone.operators.mentions import resolved
+from marlstone.operators.mentions import packets, resolved
 
 
 def one(spark, column):
@@ -92,6 +92,23 @@ def test_names_are_resolved_without_their_lists(spark):
     assert got["firm 3 (hk:7)"][0] == got["nobody"][0] == "observed"
 
 
+def test_packets_split_the_texts_of_their_sample_only(spark):
+    """Texts that stand in no packet are not split: a fourth document of a name, a copy, and one of a settled name."""
+
+    @F.udf("array<string>")
+    def split(text):
+        if text.startswith("unread"):
+            raise AssertionError("a text outside the sample was split")
+        return text.split("/")
+
+    texts = {1: "of Nobody & Co/rest", 2: "rest/nobody & co, and so on", 3: "none/of it", 4: "unread 4", 5: "unread 5", 6: "unread 6"}
+    docs = spark.createDataFrame([(f"doc:{k}", k, "1" if k == 5 else str(k), t) for k, t in texts.items()], "document_id string, doc_id long, family_id string, text string")
+    found = spark.createDataFrame([("company", "nobody & co", f"doc:{k}", "observed") for k in (1, 2, 3, 4, 5)] + [("company", "firm", "doc:6", "curated")], "type string, norm string, document_id string, status string")
+    context = docs.select("document_id", F.posexplode(split("text")).alias("ordinal", "text"))
+    got = sorted((r["document_id"], r["ordinal"], r["excerpt"]) for r in packets(found, docs, context, most=2, chars=20).collect())
+    assert got == [("doc:1", 0, "of Nobody & Co"), ("doc:1", 1, "rest"), ("doc:2", 0, "rest"), ("doc:2", 1, "nobody & co, and so "), ("doc:3", 0, "none"), ("doc:3", 1, "of it")]
+
+
 def test_names_of_mixed_scripts_are_collated(spark):
     """Han names by pinyin before Latin ones, umlauts beside their letters, among the tags of all pages."""
     from marlstone.operators.pages import QUERIES
