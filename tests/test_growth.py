@@ -64,6 +64,7 @@ def most_read(spark, run) -> int:
         "w7_queue_once",
         "j23_pending_examples",
         "k15_audit",
+        "a26_identity",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
