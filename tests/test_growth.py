@@ -65,6 +65,7 @@ def most_read(spark, run) -> int:
         "j23_pending_examples",
         "k15_audit",
         "a26_identity",
+        "e3_name_and_code",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
