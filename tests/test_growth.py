@@ -66,6 +66,7 @@ def most_read(spark, run) -> int:
         "k15_audit",
         "a26_identity",
         "e3_name_and_code",
+        "a12_counters",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
