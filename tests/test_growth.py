@@ -67,6 +67,7 @@ def most_read(spark, run) -> int:
         "a26_identity",
         "e3_name_and_code",
         "a12_counters",
+        "g2_typed_edges",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
