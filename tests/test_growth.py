@@ -68,6 +68,7 @@ def most_read(spark, run) -> int:
         "e3_name_and_code",
         "a12_counters",
         "g2_typed_edges",
+        "a13_mention_audit",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
