@@ -70,6 +70,7 @@ def most_read(spark, run) -> int:
         "g2_typed_edges",
         "a13_mention_audit",
         "a6_document_counts",
+        "e6_context",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
