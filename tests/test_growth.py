@@ -71,6 +71,7 @@ def most_read(spark, run) -> int:
         "a13_mention_audit",
         "a6_document_counts",
         "e6_context",
+        "e6_exact",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
