@@ -72,6 +72,7 @@ def most_read(spark, run) -> int:
         "a6_document_counts",
         "e6_context",
         "e6_exact",
+        "e6_partial",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
