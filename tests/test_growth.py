@@ -74,6 +74,7 @@ def most_read(spark, run) -> int:
         "e6_exact",
         "e6_partial",
         "g11_page_graph_index",
+        "g12_page_neighbourhood",
     ],
 )
 def test_no_list_of_entities_goes_with_a_mention(spark, corpora, joined_by_shuffle, tmp_path, name):
