@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round does a large star and a small star. Minima are aggregated before the join, so a node with very
     many links is one row on one side and a side that adaptive execution may split on the other. Ends when the
-    stars no longer change. Null ends and loops are ignored; an empty table gives an empty result.
+    stars no longer change. The joins are by shuffle: tables of links are far larger in memory than on disk, and a
+    side sent to all tasks is built on the driver. Null ends and loops are ignored; an empty table gives an empty result.
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
@@ -45,10 +46,10 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         used, edges = edges, cut(small.distinct(), "small")
         discard(used, large)
         after = fingerprint(edges)

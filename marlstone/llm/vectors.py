@@ -191,9 +191,15 @@ def _cosines(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a").take(own), batch.column("b").take(own), pa.array((x * y).sum(1))], ["a", "b", "cosine"])
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the vectors: never sent to all tasks. Its files are far smaller than its rows in memory, so Spark
+    would take it for small, and the driver would build it whole."""
+    return rows.hint("merge")
+
+
 def _compared(pairs: DataFrame, usable: DataFrame) -> DataFrame:
     """Cosines of pairs (a, b)."""
-    own = usable.select("node", "v")
+    own = _large(usable.select("node", "v"))
     with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("v").alias("x")), "a")
     both = with_a.join(own.select(F.col("node").alias("b"), F.col("v").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_cosines, "a long, b long, cosine double")
@@ -220,26 +226,26 @@ def near(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE, radius:
     where = ["label", "dims", "t", "key"]
     sizes = cut(keyed.groupBy(*where).agg(F.count("*").alias("rows")).where("rows > 1"), "keys")
     # Pivots: of each key the member that stands in the most crowded keys; of each vector the most crowded of its keys' pivots.
-    members = cut(keyed.join(sizes, where), "members")
+    members = cut(keyed.join(_large(sizes), where), "members")
     fame = members.groupBy("node").agg(F.sum("rows").alias("fame"))
-    centres = members.join(fame, "node").groupBy(*where).agg(F.max(F.struct("fame", F.col("node").alias("pivot"))).alias("c"))
-    chosen = members.join(centres, where).groupBy("node").agg(F.max("c").alias("c")).select(F.col("node").alias("a"), F.col("c.pivot").alias("b"))
+    centres = members.join(_large(fame), "node").groupBy(*where).agg(F.max(F.struct("fame", F.col("node").alias("pivot"))).alias("c"))
+    chosen = members.join(_large(centres), where).groupBy("node").agg(F.max("c").alias("c")).select(F.col("node").alias("a"), F.col("c.pivot").alias("b"))
     linked = _compared(chosen.where("a <> b"), usable).where(F.col("cosine") >= least).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
     # A pivot stands in its own group, whichever pivot it met itself.
     own = linked.select("pivot").distinct().select(F.col("pivot").alias("node"), F.col("pivot").alias("own"))
-    grouped = cut(usable.select("node").join(linked, "node", "left").join(own, "node", "left").select("node", F.coalesce("own", "pivot", "node").alias("pivot")), "groups")
+    grouped = cut(usable.select("node").join(_large(linked), "node", "left").join(_large(own), "node", "left").select("node", F.coalesce("own", "pivot", "node").alias("pivot")), "groups")
     # Within groups: blocks of vectors against each other.
     counted = cut(grouped.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "counted")
     # A vector of a group of many blocks is sent to a cell with each of them: tasks follow the rows that are sent, not the vectors.
     sent = counted.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     parts = max(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // TASK)
     counted = counted.drop("n")
-    inside = grouped.join(counted, "pivot").join(usable.select("node", "v", "copies"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inside = grouped.join(_large(counted), "pivot").join(_large(usable.select("node", "v", "copies")), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "v", "copies")
     inside = inside.withColumn("part", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(parts)))
     told = cut(inside.groupBy("part").applyInArrow(_within(least), "node long, others long, root long"), "within")
     # Between groups: by the tables.
-    spread = members.join(grouped, "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = members.join(_large(grouped), "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(*where, "node", "code", "pivot", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     sent = sizes.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / BLOCK))).first()[0] or 0
@@ -249,11 +255,11 @@ def near(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE, radius:
     links = cut(_compared(pairs, usable).where(F.col("cosine") >= least).select("a", "b"), "links")
     copies = usable.select(F.col("node").alias("b"), "copies")
     ends = links.union(links.select("b", "a")).toDF("a", "b")
-    degree = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).unionByName(told.select(F.col("node").alias("a"), "others")).groupBy("a").agg(F.sum("others").alias("others"))
+    degree = ends.join(_large(copies), "b").groupBy("a").agg(F.sum("copies").alias("others")).unionByName(told.select(F.col("node").alias("a"), "others")).groupBy("a").agg(F.sum("others").alias("others"))
     named = components(links.union(told.select("node", "root").toDF("a", "b"))).withColumnRenamed("node", "a")
-    table = usable.withColumnRenamed("node", "a").join(degree, "a", "left").join(named, "a", "left").select("a", "label", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
+    table = usable.withColumnRenamed("node", "a").join(_large(degree), "a", "left").join(_large(named), "a", "left").select("a", "label", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
     # A vector finds its class by value; only where copies exist does that differ from its id.
     whole = rows.select("vec_id", "label", "v").withColumn("sound", sound)
-    joined = whole.where("sound").join(table.drop("a"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    joined = whole.where("sound").join(_large(table.drop("a")), ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = whole.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.union(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
