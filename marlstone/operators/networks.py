@@ -69,13 +69,13 @@ def edges(docs: DataFrame, found: DataFrame, relations: DataFrame | None = None)
     return out
 
 
-def adjacent(graph: DataFrame, ids: list[str], direction: str = "both", types: list[str] | None = None, limit: int = 501) -> DataFrame:
-    """Edges at ids by direction and type, in order; the ends are two branches, each with its own filter."""
+def adjacent(graph: DataFrame, ids: list[str], direction: str = "both", types: list[str] | None = None) -> DataFrame:
+    """All edges at ids by direction and type, in order, however many; the ends are two branches, each with its own filter."""
     rows = graph if not types else graph.where(F.col("type").isin(types))
     sides = {"outgoing": ["source"], "incoming": ["target"], "both": ["source", "target"]}[direction]
     parts = [rows.where(F.col(s).isin(ids)) for s in sides]
     found = parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
-    return found.orderBy("source", "target", "type", "provenance").limit(limit)
+    return found.orderBy("source", "target", "type", "provenance")
 
 
 def _graph(spark, sf_dir) -> DataFrame:
@@ -91,7 +91,7 @@ _EDGES = MODEL + """, edges_ AS (
   UNION ALL SELECT entity_id, issuer_id, 'issued_by', 'registry:r:' || entity_id FROM entities_ WHERE issuer_id IS NOT NULL) """
 
 
-@query("g2_typed_edges", _EDGES + "SELECT source, target, type, provenance FROM edges_ WHERE source = 'doc:18' OR target = 'doc:2' OR source = 'doc:2' OR target = 'doc:18' OR source = 'entity:company:4' OR target = 'entity:company:4' ORDER BY 1, 2, 3, 4 LIMIT 501")
+@query("g2_typed_edges", _EDGES + "SELECT source, target, type, provenance FROM edges_ WHERE source = 'doc:18' OR target = 'doc:2' OR source = 'doc:2' OR target = 'doc:18' OR source = 'entity:company:4' OR target = 'entity:company:4' ORDER BY 1, 2, 3, 4")
 def g2(spark, sf_dir):
     """Edges of four kinds at a document and an entity, with where each comes from."""
     return adjacent(_graph(spark, sf_dir), ["doc:18", "doc:2", "entity:company:4"])
