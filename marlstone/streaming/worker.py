@@ -1,14 +1,18 @@
-"""The work on documents as a stateful stream: one state for each document, with timers for retries and for forgetting what is done.
+"""The work on documents as a stateful stream: a state for each document, with timers for retries and for forgetting what is done.
 
 Events (key, seq, state, at) say what a worker did. The state holds the last state, how often the document was tried, and whether
 each step was allowed. When work waits for a service, a timer is set for its next attempt, later after each failure; when it goes
 off and the work still waits, the document is told to be due. What is complete is forgotten after a while. Times are those of the
 events, so that a stream that was stopped and resumed says what one run over all events says; each batch is written to a folder of
 its own, and written again after a failure.
+
+The documents are dealt to a fixed number of buckets, and Spark keeps one value for each bucket: asking it for each document, one by
+one, took far more time than the work. A batch reads and writes the buckets that it has events for.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +32,10 @@ FIRST, LONGEST = 30_000, 300_000
 #: Milliseconds after which completed work is forgotten.
 FORGET = 7 * 24 * 3_600_000
 OUT = "key long, seq long, state string, attempts long, sound boolean, retry_at long, kind string"
+#: Buckets of documents. A checkpoint holds its own number: other buckets need another checkpoint.
+BUCKETS = 2048
+#: Partitions of the state for each core, at most: each costs its part of every batch, whatever it holds.
+EACH = 4
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,63 +44,84 @@ def backoff(attempts: int) -> int:
 
 
 class Work(StatefulProcessor):
-    """The state of one document's work."""
+    """The states of one bucket's documents: seq, state, attempts, sound, retry_at, forget_at and whether it was told to be due, by key."""
 
     def __init__(self, forget: int = FORGET):
         self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.work = handle.getValueState("work", "seq long, state string, attempts long, sound boolean, retry_at long, forget_at long")
+        self.work = handle.getValueState("work", "states string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, state, attempts, sound, retry, forget = self.work.get() if self.work.exists() else (-1, None, 0, True, None, None)
-        events = sorted((int(s), t, int(a)) for part in rows for s, t, a in zip(part["seq"], part["state"], part["at_ms"]))
-        for s, now, at in events:
-            if s <= seq:  # seen already
-                continue
-            sound = sound and now in NEXT.get(state, [])
-            attempts += now == "processing"
-            for timer in (retry, forget):
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-            retry = at + backoff(attempts) if now == "pending_service" else None
-            forget = at + self.forget if now == "complete" else None
-            for timer in (retry, forget):
-                if timer is not None:
-                    self.handle.registerTimer(timer)
-            seq, state = s, now
-        if state is not None:
-            self.work.update((seq, state, attempts, sound, retry, forget))
-            yield self._row(key, "step")
+        states, events = self._states(), {}
+        for part in rows:
+            for k, s, t, a in zip(part["key"], part["seq"], part["state"], part["at_ms"]):
+                events.setdefault(k, []).append((int(s), t, int(a)))
+        told, timers = [], set()
+        for k, own in events.items():
+            seq, state, attempts, sound, retry, forget, due = states.get(k, (-1, None, 0, True, None, None, False))
+            for s, now, at in sorted(own):
+                if s <= seq:  # seen already
+                    continue
+                sound = sound and now in NEXT.get(state, [])
+                attempts += now == "processing"
+                retry = at + backoff(attempts) if now == "pending_service" else None
+                forget = at + self.forget if now == "complete" else None
+                seq, state, due = s, now, False
+            if state is not None:
+                states[k] = seq, state, attempts, sound, retry, forget, due
+                timers |= {retry, forget} - {None}
+                told.append(k)
+        for timer in timers:  # those that a later event has outdated find no document when they go off
+            self.handle.registerTimer(timer)
+        if told:
+            self._keep(states)
+            yield self._rows(states, told, "step")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.work.exists():
-            return
-        _, state, _, _, retry, forget = self.work.get()
-        gone = expiredTimerInfo.getExpiryTimeInMs()
-        if state == "pending_service" and retry == gone:
-            yield self._row(key, "due")
-        elif state == "complete" and forget == gone:
+        states, gone = self._states(), expiredTimerInfo.getExpiryTimeInMs()
+        due = [k for k, (_, state, _, _, retry, _, told) in states.items() if state == "pending_service" and retry == gone and not told]
+        done = [k for k, (_, state, _, _, _, forget, _) in states.items() if state == "complete" and forget == gone]
+        if due:
+            yield self._rows(states, due, "due")
+        for k in due:
+            states[k] = (*states[k][:6], True)
+        for k in done:
+            del states[k]
+        if due or done:
+            self._keep(states)
+
+    def _states(self) -> dict[str | None, tuple]:
+        return {k: tuple(rest) for k, *rest in json.loads(self.work.get()[0])} if self.work.exists() else {}
+
+    def _keep(self, states: dict[str | None, tuple]) -> None:
+        if states:
+            self.work.update((json.dumps([(k, *rest) for k, rest in states.items()], separators=(",", ":")),))
+        else:
             self.work.clear()
 
-    def _row(self, key, kind: str) -> pd.DataFrame:
-        seq, state, attempts, sound, retry, _ = self.work.get()
-        return pd.DataFrame({"key": [key[0]], "seq": [seq], "state": [state], "attempts": [attempts], "sound": [sound], "retry_at": pd.array([retry], "Int64"), "kind": [kind]})
+    def _rows(self, states: dict[str | None, tuple], keys: list[str | None], kind: str) -> pd.DataFrame:
+        seq, state, attempts, sound, retry, *_ = zip(*[states[k] for k in keys])
+        number = pd.array([None if k is None else int(k) for k in keys], "Int64")
+        return pd.DataFrame({"key": number, "seq": seq, "state": state, "attempts": attempts, "sound": sound, "retry_at": pd.array(retry, "Int64"), "kind": kind})
 
     def close(self) -> None:
         pass
 
 
-def worked(events: DataFrame, forget: int = FORGET, late: str = "0 seconds") -> DataFrame:
+def worked(events: DataFrame, forget: int = FORGET, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """A stream of states from a stream of events (key, seq, state, at timestamp). Events later than the watermark are left out."""
-    timed = events.select(F.col("key").cast("long"), F.col("seq").cast("long"), "state", F.col("at").cast("timestamp").alias("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms"))
-    return timed.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Work(forget), OUT, "update", "eventtime")
+    timed = events.select(F.col("key").cast("long").cast("string").alias("key"), F.col("seq").cast("long"), "state", F.col("at").cast("timestamp").alias("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    return timed.withWatermark("at", late).withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(Work(forget), OUT, "update", "eventtime")
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """A session with the state store that such processors need; that of the caller keeps its own settings."""
+    """A session with the state store that such processors need, and no more partitions of it than the cores can use; that of the
+    caller keeps its own settings."""
     own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), EACH * spark.sparkContext.defaultParallelism)))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return own
 
