@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +35,7 @@ def _folded(text: Column) -> Column:
 
 
 def normalize(text: str | Column) -> Column:
-    """Compatibility form, trimmed, white space collapsed, lower case. Texts in that form go to Python as nulls; where there are many,
-    split the rows by is_plain first (see segments.tokens), so that these do not pass it at all."""
+    """Compatibility form, trimmed, white space collapsed, lower case. Texts in that form go to Python as nulls."""
     text = F.col(text) if isinstance(text, str) else text
     plain = is_plain(text)
     return F.when(plain, _folded(text)).otherwise(F.pandas_udf(_nfkc, "string")(F.when(~plain, text)))
@@ -51,9 +51,21 @@ def terms(text: str | Column) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit(TERM), 0)
 
 
-def plain_terms(text: Column) -> Column:
-    """terms of a text for which is_plain holds, without Python."""
-    return F.regexp_extract_all(_folded(text), F.lit(TERM), 0)
+_WORDS = r"[[\p{L}\p{M}\p{N}_]--\p{Han}]+"
+_ANY = regex.compile(rf"(?V1)\p{{Han}}|\p{{Nd}}+(?:[.,]\p{{Nd}}+)+|{_WORDS}(?:['’]{_WORDS})*")
+_ASCII = re.compile(r"[0-9]+(?:[.,][0-9]+)+|[a-z0-9_]+(?:'[a-z0-9_]+)*")
+#: For texts of composed characters but Han; of marks, lower case makes only the dot of a Turkish capital.
+_LETTERS = re.compile("[0-9]+(?:[.,][0-9]+)+|[\\w\u0307]+(?:['’][\\w\u0307]+)*")
+_WESTERN = re.compile(_COMPOSED.replace("\\u4E00-\\u9FFF\\u3001-\\u3011", "") + "*")
+
+
+def terms_of(text: str) -> list[str]:
+    """terms of a text within Python; nearly all texts are matched by a simpler pattern that finds the same in them."""
+    if text.isascii():
+        return _ASCII.findall(text.lower())
+    if _WESTERN.fullmatch(text):
+        return _LETTERS.findall(text.lower())
+    return _ANY.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 def query_terms(q: str, most: int = 80) -> list[list[str]]:
@@ -148,16 +160,18 @@ def split_blocks(body: Column) -> Column:
 
 def is_unmarked(body: Column) -> Column:
     """Whether a text has no page marker, heading, blank line or character beyond the basic plane: its blocks are slices."""
-    return ~body.rlike(r"\n\n|(?m)^#{1,6} |[\x{10000}-\x{10FFFF}]")
+    # A search for a few characters leaves little for the patterns, which take far longer.
+    heading = F.contains(body, F.lit("# ")) & body.rlike(r"(?m)^#{1,6} ")
+    return ~(F.contains(body, F.lit("\n\n")) | heading | ((F.octet_length(body) > F.char_length(body)) & body.rlike(r"[\x{10000}-\x{10FFFF}]")))
 
 
 def slices(body: Column, most: int = 1800) -> Column:
-    """Blocks of a text for which is_unmarked holds, without Python."""
-    n = F.char_length(body)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
+    """Blocks of a text for which is_unmarked holds, without Python. One pass cuts the text: a substring for each block would count the
+    characters before it."""
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
 
-    def block(at: Column) -> Column:
-        end = F.least(at + most, n)
-        return F.struct(at.alias("start_offset"), end.alias("end_offset"), F.lit(None).cast("int").alias("pdf_page"), F.array().cast("array<string>").alias("section"), F.substring(body, at + 1, F.lit(most)).alias("text"))
+    def block(text: Column, k: Column) -> Column:
+        at = k * most
+        return F.struct(at.alias("start_offset"), (at + F.char_length(text)).alias("end_offset"), F.lit(None).cast("int").alias("pdf_page"), F.array().cast("array<string>").alias("section"), text.alias("text"))
 
-    return F.transform(starts, block).cast(BLOCK)
+    return F.transform(pieces, block).cast(BLOCK)
